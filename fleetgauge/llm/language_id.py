@@ -140,12 +140,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: i
 
 def judged(docs: DataFrame, model: BitmaskFilter, columns: list) -> DataFrame:
     """``columns`` of the documents with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.false_rate))
     rows = docs.select(*columns, F.col("text").alias("__fg_text"))
     schema = rows.drop("__fg_text").schema.add("__fg_lang", "string").add("__fg_score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = shared.value
+        filt = BitmaskFilter(*shared.value)
         for batch in batches:
             found = [filt.decide(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]

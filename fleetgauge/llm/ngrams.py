@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
 ORDERS = (2, 3, 4)
@@ -12,10 +10,14 @@ SLICE = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@cache
+_LETTERS: list[np.ndarray] = []
+
+
 def letter_table() -> np.ndarray:
-    """For every code point whether it is a letter."""
-    return np.array([chr(c).isalpha() for c in range(0x110000)], bool)
+    """For every code point whether it is a letter; built once a task."""
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(c).isalpha() for c in range(0x110000)], bool))
+    return _LETTERS[0]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
