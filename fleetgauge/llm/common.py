@@ -44,6 +44,19 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
+def hash_sample(keys: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashes of ``key``; the same in every run.
+
+    A threshold on the hash first leaves little more than ``n`` rows to sort.
+    """
+    total = keys.count()
+    if total <= n:
+        return keys
+    order = F.xxhash64(key)
+    share = F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * n / total + 1e-6))
+    return keys.where(share).orderBy(F.pmod(order, F.lit(1 << 30)), key).limit(n)
+
+
 def hot_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Left join of ``rows`` with ``keyed`` (one row per key) without a hot task.
 

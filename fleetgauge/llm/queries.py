@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_rules, simhash, toxicity, url_rules
+from fleetgauge.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_rules
 from fleetgauge.llm.oracles import ORACLE_SQL
 
 
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan_mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -53,6 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_mix_sources": op3_mix_sources,
     "op4_url_rules": op4_url_rules,
     "op5_toxicity": op5_toxicity,

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import materialise, remainder
+from fleetgauge.llm.common import hash_sample, materialise, remainder
 from fleetgauge.llm.segments import maximal_segments, score_rate, tokens_of, units_of
 
 FOLDS, HELD_OUT = 5, 0
@@ -93,7 +93,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(text, toxic) of at most ``sample`` labelled documents of the other folds, as a table."""
     usable = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__fg_toxic"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "__fg_id")
+    chosen = hash_sample(usable, "doc_id", sample).withColumnRenamed("doc_id", "__fg_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__fg_id"))
     return materialise(rows.select("text", F.col("__fg_toxic").alias("toxic")), "labelled")
 
