@@ -3,7 +3,7 @@
 1. Fingerprints of whole texts (Arrow batches, see ``simhash_kernel``).
 2. Equal fingerprints collapse to one node, with map-side combine.
 3. Correlated bits are grouped into partitions, and dynamic programming gives
-   each partition its own threshold from estimated candidate counts: two
+   each partition its own threshold from candidate counts: two
    fingerprints within ``radius`` bits agree up to threshold ``t_i`` in some
    partition whenever the ``t_i`` sum up to ``radius - partitions + 1``.
 4. Each node is listed once per partition and probes the ball of its
@@ -38,7 +38,7 @@ from fleetgauge.llm.simhash_kernel import fingerprint
 RADIUS = 4
 WIDTH = 4
 #: Nodes that may share one bucket before its links go through midpoints.
-DENSE = 1000
+DENSE = 4096
 #: Cost of one probe row (shuffled) against one candidate pair (verified).
 PROBE_COST = 20.0
 
@@ -115,26 +115,49 @@ def _ball(bits: int, radius: int) -> int:
     return size
 
 
-def plan_search(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+def equal_pairs(nodes: DataFrame, groupings: dict[int, list[list[int]]]) -> dict[tuple[int, int], float]:
+    """For each partition of each grouping, how many pairs of nodes agree on all its bits."""
+    keys = []
+    for parts, groups in groupings.items():
+        for k, bits in enumerate(groups):
+            inside = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
+            keys.append(F.struct(F.lit(parts).alias("parts"), F.lit(k).alias("part"), inside.alias("key")))
+    counted = nodes.select(F.explode(F.array(*keys)).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.sum(F.col("n") * (F.col("n") - 1) / 2)
+    found = counted.groupBy("at.parts", "at.part").agg(pairs.alias("pairs")).collect()  # one row per partition
+    return {(r["parts"], r["part"]): float(r["pairs"]) for r in found}
+
+
+def plan_search(nodes: DataFrame, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """Partitions of the bits with thresholds of least estimated cost.
 
-    The candidates of a partition at threshold t are the pairs whose distance
-    there is at most t, from the distribution of a sum of independent bit
-    differences; -1 leaves a partition out.
+    The candidates at threshold 0 are counted over all nodes, so correlated and
+    skewed bits show.  Those of threshold t follow by the ratio that a sum of
+    independent bit differences has between distances up to t and none; -1
+    leaves a partition out.
     """
+    n, both = bit_counts(nodes)
+    groupings = {parts: group_bits(n, both, parts) for parts in range(2, radius + 2)}
+    return choose_plan(n, both, groupings, equal_pairs(nodes, groupings), radius)
+
+
+def choose_plan(
+    n: int, both: np.ndarray, groupings: dict[int, list[list[int]]], equal: dict[tuple[int, int], float], radius: int = RADIUS
+) -> list[tuple[list[int], int]]:
+    """The grouping and thresholds of least cost, by dynamic programming over the sum of thresholds."""
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     best: tuple[float, list[tuple[list[int], int]]] = (np.inf, [])
-    for parts in range(2, radius + 2):
-        groups = group_bits(n, both, parts)
+    for parts, groups in groupings.items():
         costs = []
-        for group in groups:
-            dist = np.zeros(radius + 2)
+        for k, group in enumerate(groups):
+            dist = np.zeros(radius + 1)
             dist[0] = 1.0
             for b in group:
                 dist[1:] = dist[1:] * (1 - differ[b]) + dist[:-1] * differ[b]
                 dist[0] *= 1 - differ[b]
-            pairs = n * n / 2 * np.cumsum(dist)
+            expected = n * n / 2 * np.cumsum(dist)
+            pairs = expected + max(0.0, equal.get((parts, k), 0.0) - expected[0])
             costs.append([0.0] + [PROBE_COST * n * _ball(len(group), t) + pairs[t] for t in range(radius + 1)])
         need = radius - parts + 1
         # table[s]: least cost of the partitions so far with thresholds summing up to s.
@@ -159,7 +182,9 @@ def _flips(bits: list[int], radius: int) -> np.ndarray:
     return np.array(masks, np.uint64).view(np.int64)
 
 
-def _signed(value: int) -> int:
+def _mask(bits: list[int]) -> int:
+    """The mask of ``bits`` as a signed 64-bit number."""
+    value = sum(1 << b for b in bits)
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -167,7 +192,7 @@ def _keys(nodes: DataFrame, plan: list[tuple[list[int], int]], probe: bool) -> D
     """(part, key, fp): each node's value in every partition, or its ball."""
     keys = []
     for k, (bits, radius) in enumerate(plan):
-        inside = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
+        inside = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
         masks = _flips(bits, radius if probe else 0).tolist()
         keys += [F.struct(F.lit(k).alias("part"), inside.bitwiseXOR(F.lit(m)).alias("key")) for m in masks]
     return nodes.select("fp", F.explode(F.array(*keys)).alias("at")).select("at.part", "at.key", "fp")
@@ -232,13 +257,12 @@ def _components_of(docs: DataFrame, width: int, radius: int, dense: int) -> Data
     prints = materialise(fingerprints(docs, width), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"))
     nodes = materialise(nodes, "nodes")
-    n, both = bit_counts(nodes)
-    edges = links(nodes, plan_search(n, both, radius), radius, dense)
+    edges = links(nodes, plan_search(nodes, radius), radius, dense)
     roots = components(edges).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialise(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_nodes"))
-    named = hot_join(rooted, ids, "root", "n_nodes", max(n, 1)).select("fp", "n_docs", "component_id")
+    named = hot_join(rooted, ids, "root", "n_nodes", rooted.count()).select("fp", "n_docs", "component_id")
     return hot_join(prints, materialise(named, "named"), "fp", "n_docs", prints.count())
 
 
