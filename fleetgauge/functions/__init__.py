@@ -1 +1 @@
-"""functions of the engine."""
+"""Column functions: units, fluid and mechanical formulas, verdict expressions."""
