@@ -1 +1 @@
-"""operators of the engine."""
+"""Operators over long tables of samples, runs, intervals and test metrics."""

@@ -1,0 +1,108 @@
+"""Algorithms whose next step depends on the last, per test and in order.
+
+Each runs as a grouped map over the ordered samples of one test; tests are
+spread over the cluster by Spark.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def stick_slip(grid: DataFrame, keys: list[str], still: float = 0.3, moved: float = 1.0, jump: float = 1.0, least_s: float = 0.5, jump_s: float = 0.3) -> DataFrame:
+    """Episodes in which the position sticks while the command moves, then jumps.
+
+    From an anchor on, the position stays within ``still``; if that lasts
+    ``least_s`` and the command moved by ``moved``, and the position then jumps
+    by ``jump`` within ``jump_s``, it is an episode and the search goes on
+    behind the jump; otherwise behind the still part.
+    """
+    kinds = ", ".join(f"{k} {grid.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "i"])
+        t, c, p = (pdf[x].to_numpy(float) for x in ("t", "command", "position"))
+        found, i, n = [], 0, len(pdf)
+        while i < n - 1:
+            off = np.flatnonzero(~(np.abs(p[i + 1 :] - p[i]) < still))
+            j = i + 1 + int(off[0]) if len(off) else n
+            resume = max(j, i + 1)
+            if j < n and t[j - 1] - t[i] >= least_s and np.abs(c[i:j] - c[i]).max() >= moved:
+                reach = int(np.searchsorted(t, t[j - 1] + jump_s, "right"))
+                far = np.flatnonzero(np.abs(p[j:reach] - p[i]) >= jump)
+                if len(far):
+                    k = j + int(far[0])
+                    found.append((t[i], t[j - 1], t[k], abs(p[k] - p[i])))
+                    resume = k
+            i = resume
+        out = pd.DataFrame(found, columns=["start_at", "stuck_until", "end_at", "size"], dtype=float)
+        for at, k in enumerate(keys):
+            out.insert(at, k, pdf[k].iloc[0])
+        return out
+
+    return grid.groupBy(*keys).applyInPandas(run, f"{kinds}, start_at double, stuck_until double, end_at double, size double")
+
+
+def merged_points(points: list[tuple[float, float]], near: float = 1e-6) -> list[tuple[float, float]]:
+    """Points in order of x; one closer than ``near`` to the last joins it by the mean of both."""
+    out: list[tuple[float, float]] = []
+    for x, y in sorted(points):
+        if out and abs(x - out[-1][0]) < near:
+            out[-1] = (out[-1][0], (out[-1][1] + y) / 2)
+        else:
+            out.append((x, y))
+    return out
+
+
+def hysteresis(points: DataFrame, keys: list[str], step: float = 1.0) -> DataFrame:
+    """Largest gap between the opening and the closing branch (columns branch, x, y) over their common x."""
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        branches = [merged_points(list(zip(b["x"], b["y"], strict=True))) for b in (pdf[pdf["branch"] == k] for k in ("opening", "closing"))]
+        row = {k: pdf[k].iloc[0] for k in keys} | {"hysteresis": None, "at": None}
+        if all(len(b) >= 2 for b in branches):
+            low, high = max(b[0][0] for b in branches), min(b[-1][0] for b in branches)
+            if high > low:
+                x = np.linspace(low, high, max(2, int((high - low) / step) + 1))
+                up, down = (np.interp(x, [p[0] for p in b], [p[1] for p in b]) for b in branches)
+                k = int(np.argmax(np.abs(up - down)))
+                row |= {"hysteresis": float(abs(up[k] - down[k])), "at": float(x[k])}
+        return pd.DataFrame([row])
+
+    return points.groupBy(*keys).applyInPandas(run, f"{kinds}, hysteresis double, at double")
+
+
+def simulate_supply(schemes: DataFrame, dt: float, t_max: float) -> DataFrame:
+    """Explicit Euler steps of a tank that feeds actuator chambers through a regulator.
+
+    ``schemes`` has one row per scheme: scheme_id, tank_nl_per_kpa, tank_kpa,
+    set_kpa, conductance (Nl/min per kPa), demand (array of structs a, b, q: start, end, Nl/min).
+    One row per scheme: lowest regulated pressure, when, and what was drawn.
+    """
+    schema = "scheme_id long, dt double, min_kpa double, min_at double, drawn_nl double, tank_end_kpa double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for s in pdf.itertuples(index=False):
+                tank, drawn, low, low_at = float(s.tank_kpa), 0.0, float(s.set_kpa), 0.0
+                demand = [(d["a"], d["b"], d["q"]) for d in s.demand]
+                for k in range(int(t_max / dt)):
+                    t = k * dt
+                    want = sum(q for a, b, q in demand if a <= t < b)
+                    # The regulator holds its set point as long as the tank's surplus drives the flow.
+                    given = min(want, max(tank, 0.0) * s.conductance)
+                    kpa = min(s.set_kpa, tank - given / s.conductance)
+                    if kpa < low:
+                        low, low_at = kpa, t
+                    drawn += given * dt / 60
+                    tank -= given * dt / 60 / s.tank_nl_per_kpa
+                out.append((s.scheme_id, dt, low, low_at, drawn, tank))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return schemes.mapInPandas(run, schema)

@@ -1 +1 @@
-"""sources of the engine."""
+"""Readers that bring inputs into the long ``samples`` form, and writers of results."""
