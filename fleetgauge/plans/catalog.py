@@ -1,14 +1,15 @@
-"""Registered queries over the provided tables, with their oracles."""
+"""All registered queries over the provided tables, with their oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from fleetgauge.plans import series_queries, table_queries
+from fleetgauge.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship", "table_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Gaps in every channel of every test."""
+    return series_queries.series_gaps(spark, sf_dir)
