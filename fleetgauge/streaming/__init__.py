@@ -1 +1 @@
-"""streaming of the engine."""
+"""Streaming forms of operators that look only at the recent past."""
