@@ -33,7 +33,9 @@ def merge_short(runs: DataFrame, keys: list[str], value: str, short: Column) ->
     ordered = Window.partitionBy(*keys).orderBy("run")
     kept = runs.withColumn("__keep", F.when(~short, F.col(value)))
     back = F.last("__keep", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__keep", ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    # In descending order the frame grows, so each row costs one step.
+    falling = Window.partitionBy(*keys).orderBy(F.col("run").desc())
+    ahead = F.last("__keep", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, 0))
     relabelled = kept.withColumn(value, F.coalesce(back, ahead, F.col(value))).drop("__keep")
     marked = mark_runs(relabelled, keys, ["run"], F.col(value), "merged")
     return marked.groupBy(*keys, "merged").agg(
