@@ -32,6 +32,8 @@ CLASSES = {
     "upper": r"[^A-Z]+",
     "stop": r"[^.,;:!?'\"()\[\]-]+",
 }
+#: What is in no class.
+OUTSIDE = "[^" + "".join(c[2:-2] for c in CLASSES.values()) + "]+"
 WINDOW = 8
 #: Common words of a language: the first TOP of those with this share of its words.
 TOP, LEAST_SHARE = 24, 0.001
@@ -48,9 +50,15 @@ class Reference:
     chars: list[float]
 
 
-def _class_counts(text: Column) -> list[Column]:
-    counts = [F.length(F.regexp_replace(text, outside, "")) for outside in CLASSES.values()]
-    return [*counts, F.length(text) - sum(counts[1:], counts[0])]
+def _marks(text: Column) -> Column:
+    """The characters of a text that are in any class; mostly letters go."""
+    return F.regexp_replace(text, OUTSIDE, "")
+
+
+def _class_counts(marks: Column, length: Column) -> list[Column]:
+    """Counts of each class and of all other characters, from the marks of a text and its length."""
+    counts = [F.length(F.regexp_replace(marks, outside, "")) for outside in CLASSES.values()]
+    return [*counts, length - sum(counts[1:], counts[0])]
 
 
 def learn_references(docs: DataFrame) -> list[Reference]:
@@ -62,8 +70,9 @@ def learn_references(docs: DataFrame) -> list[Reference]:
     """
     rows = docs.where("lang is not null").select("lang", F.coalesce("text", F.lit("")).alias("text"))
     names = [*CLASSES, "other"]
-    sums = [F.sum(c).alias(n) for n, c in zip(names, _class_counts(F.col("text")), strict=True)]
-    chars = {r["lang"]: [float(r[n] or 0) for n in names] for r in rows.groupBy("lang").agg(*sums).collect()}
+    marked = rows.select("lang", _marks(F.col("text")).alias("marks"), F.length("text").alias("length"))
+    sums = [F.sum(c).alias(n) for n, c in zip(names, _class_counts(F.col("marks"), F.col("length")), strict=True)]
+    chars = {r["lang"]: [float(r[n] or 0) for n in names] for r in marked.groupBy("lang").agg(*sums).collect()}
     words = rows.select("lang", F.explode(words_of(F.lower("text"))).alias("word"))
     words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(SKETCH)))
     sketch = words.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # SKETCH rows per language
@@ -135,19 +144,35 @@ def word_distance(counts: Column, n_words: Column, reference: Reference) -> Colu
     return F.sqrt(F.greatest(F.lit(0.0), (seen["js"] + other) / 2))
 
 
+def _class(name: str) -> Column:
+    return F.get(F.col("classes"), F.lit(list(CLASSES).index(name)))
+
+
+def _with_hash_at(offset: int):
+    return lambda h, i: F.xxhash64(h, F.get(F.col("hashes"), i + offset))
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, words, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row."""
+    """doc_id, words, length, classes, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    at = lambda i, k: F.get(F.col("words"), i + k)
-    starts = F.when(F.size("words") >= WINDOW, F.sequence(F.lit(0), F.size("words") - WINDOW)).otherwise(F.array().cast("array<int>"))
     rows = rows.select(
-        "*",
+        "doc_id",
+        "words",
+        F.length("text").alias("length"),
+        _marks(F.col("text")).alias("marks"),
         F.size("words").cast("long").alias("n_words"),
         lines.alias("lines"),
-        F.transform(starts, lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)])).alias("hashes"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
+    rows = rows.withColumn("classes", F.array(*_class_counts(F.col("marks"), F.col("length"))))
+    # Hashes of 1, 2, 4, then WINDOW words; those that would pass the end go.
+    span = 1
+    while span < WINDOW:
+        rows = rows.withColumn("hashes", F.transform("hashes", _with_hash_at(span)))
+        span *= 2
+    rows = rows.withColumn("hashes", F.slice("hashes", 1, F.greatest(F.size("words") - WINDOW + 1, F.lit(0))))
     twice = F.size(F.array_distinct("hashes")) < F.size("hashes")
     # (hash, start) in order, only for texts in which a window occurs twice.
     rows = rows.withColumn("sorted", F.when(twice, F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))))
@@ -160,9 +185,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
     steps = F.transform("repeated", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("repeated"), i + 1) - p, F.lit(WINDOW))))
     covered = F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)
     return rows.select(
-        "doc_id", "text", "words", "n_words",
-        F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", CLASSES["symbol"], "")).cast("long").alias("n_symbols"),
+        "doc_id", "length", "classes", "words", "n_words",
+        (F.col("length") - _class("space")).cast("long").alias("word_chars"),
+        _class("symbol").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
     )
@@ -174,13 +199,14 @@ def judge(docs: DataFrame, references: list[Reference] | None = None) -> DataFra
     rows = base_counts(docs)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     common = sorted({w for r in references for w in r.words})
-    shared = F.filter("words", lambda w: F.lower(w).isin(common)) if common else F.array().cast("array<string>")
-    rows = rows.withColumn("shared", F.transform(shared, F.lower)).withColumn("classes", F.array(*_class_counts(F.col("text"))))
+    longest = max(map(len, common), default=0)  # lower case never has fewer code points
+    shared = F.filter("words", lambda w: (F.length(w) <= longest) & F.lower(w).isin(common)) if common else F.array().cast("array<string>")
+    rows = rows.withColumn("shared", F.transform(shared, F.lower))
     rows = rows.withColumn(
         "counts",
         F.transform(F.array_distinct("shared"), lambda w: F.struct(w.alias("word"), (F.size("shared") - F.size(F.array_remove(F.col("shared"), w))).alias("n"))),
     )
-    length = F.greatest(F.length("text"), F.lit(1)).cast("double")
+    length = F.greatest(F.col("length"), F.lit(1)).cast("double")
     no = F.lit(None).cast("double")
     chars, words = no, no
     for r in references:
