@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import words_of
+from fleetgauge.llm.common import materialise, words_of
 
 #: Fixed classes; what is in none of them counts as "other", mostly letters.
 CLASSES = {
@@ -37,7 +37,6 @@ OUTSIDE = "[^" + "".join(c[2:-2] for c in CLASSES.values()) + "]+"
 WINDOW = 8
 #: Common words of a language: the first TOP of those with this share of its words.
 TOP, LEAST_SHARE = 24, 0.001
-SKETCH = 4096
 #: (limit, part that shrinks with length, words from which it holds).
 WORD_LIMIT = (0.14, 2.0, 50)
 CHAR_LIMIT = (0.12, 1.6, 20)
@@ -64,42 +63,35 @@ def _class_counts(marks: Column, length: Column) -> list[Column]:
 def learn_references(docs: DataFrame) -> list[Reference]:
     """Class and word shares of each language over all its documents.
 
-    Words are counted in two passes: hash buckets first, then only words of
-    buckets that hold ``LEAST_SHARE`` of a language's words, of which there are
-    at most ``1 / LEAST_SHARE``; so the shuffle stays small and no word is missed.
+    The texts are split once, into a table of (lang, word, n) that is combined
+    before the shuffle and grows with the vocabulary.  Classes are counted on
+    that table, each word's characters times its count; what words leave of a
+    language's length is space.  A language has at most ``1 / LEAST_SHARE``
+    words with that share, so what the driver gets is small.
     """
     rows = docs.where("lang is not null").select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    names = [*CLASSES, "other"]
-    marked = rows.select("lang", _marks(F.col("text")).alias("marks"), F.length("text").alias("length"))
-    sums = [F.sum(c).alias(n) for n, c in zip(names, _class_counts(F.col("marks"), F.col("length")), strict=True)]
-    chars = {r["lang"]: [float(r[n] or 0) for n in names] for r in marked.groupBy("lang").agg(*sums).collect()}
-    words = rows.select("lang", F.explode(words_of(F.lower("text"))).alias("word"))
-    words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(SKETCH)))
-    sketch = words.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # SKETCH rows per language
-    total: dict[str, int] = {}
-    for r in sketch:
-        total[r["lang"]] = total.get(r["lang"], 0) + r["n"]
-    full = {}
-    for r in sketch:
-        if r["n"] >= LEAST_SHARE * total[r["lang"]]:
-            full.setdefault(r["lang"], []).append(r["bucket"])
-    if not full:
-        return [Reference(lang, {}, c) for lang, c in sorted(chars.items())]
-    among = None
-    for lang, buckets in full.items():
-        here = (F.col("lang") == lang) & F.col("bucket").isin(buckets)
-        among = here if among is None else among | here
-    counted = words.where(among).where(F.col("word").rlike(r"^\p{L}+$")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    totals = F.create_map(*[F.lit(x) for pair in total.items() for x in pair])
-    counted = counted.where(F.col("n") >= F.lit(LEAST_SHARE) * F.element_at(totals, F.col("lang")))
+    length = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    words = rows.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    counted = materialise(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "language-words")
+    inside = [name for name in CLASSES if name != "space"]
+    sums = [F.sum(F.col("n") * F.length(F.regexp_replace("word", CLASSES[name], ""))).alias(name) for name in inside]
+    sums += [F.sum(F.col("n") * F.length("word")).alias("all"), F.sum("n").alias("n_words")]
+    totals = {r["lang"]: r for r in counted.groupBy("lang").agg(*sums).collect()}
+    chars, n_words = {}, {}
+    for lang, n in length.items():
+        found = totals[lang].asDict() if lang in totals else dict.fromkeys([*inside, "all", "n_words"], 0)
+        found["space"] = n - found["all"]
+        shares = [float(found[name]) for name in CLASSES]
+        chars[lang] = [*shares, n - sum(shares)]
+        n_words[lang] = found["n_words"]
     common: dict[str, list[tuple[int, str]]] = {}
-    for r in counted.collect():  # at most 1 / LEAST_SHARE rows per language
-        common.setdefault(r["lang"], []).append((-r["n"], r["word"]))
-    found = []
-    for lang, c in sorted(chars.items()):
-        best = sorted(common.get(lang, []))[:TOP]
-        found.append(Reference(lang, {w: -n / total[lang] for n, w in best}, c))
-    return found
+    if n_words:
+        of_lang = F.create_map(*[F.lit(x) for pair in n_words.items() for x in pair])
+        lowered = counted.groupBy("lang", F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+        lowered = lowered.where((F.col("n") >= F.lit(LEAST_SHARE) * F.element_at(of_lang, F.col("lang"))) & F.col("word").rlike(r"^\p{L}+$"))
+        for r in lowered.collect():  # at most 1 / LEAST_SHARE rows per language
+            common.setdefault(r["lang"], []).append((-r["n"], r["word"]))
+    return [Reference(lang, {w: -n / n_words[lang] for n, w in sorted(common.get(lang, []))[:TOP]}, c) for lang, c in sorted(chars.items())]
 
 
 def _term(a: Column, b: Column) -> Column:
