@@ -169,7 +169,8 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataF
     model, patterns = learn_labels(voted)
     patterns = F.broadcast(patterns)
     ids = hash_sample(voted.where("doc_id is not null").select("doc_id").distinct(), "doc_id", sample)
-    chosen = votes_of(docs).join(F.broadcast(ids), "doc_id").join(patterns, names).select("text", "posterior")
+    sampled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    chosen = votes_of(sampled).join(patterns, names).select("text", "posterior")
     train = materialise(chosen, "weakly-labelled")
     edges = train.agg(F.min("posterior"), F.max("posterior")).first()
     rows = _features(votes_of(docs)).join(patterns, names, "left")
