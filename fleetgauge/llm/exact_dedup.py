@@ -96,16 +96,14 @@ def annotate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", DIGEST)
 
 
-def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that stay, with all their columns.
+def take(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``stays`` (doc_id, raw_hash, n) names, with all their columns.
 
     Rows are matched by id and raw text hash; where such a row occurs more than
-    once, one of them is taken.
+    once (``n``), one of them is taken.
     """
-    found = _resolve(docs, index or DigestIndex(docs.sparkSession))
-    same = found.groupBy("doc_id", "raw_hash").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    stays = [F.col("doc_id").alias("__fg_id"), F.col("raw_hash").alias("__fg_raw"), F.col("n").alias("__fg_n")]
-    same = materialise(same.where("kept").select(stays), "kept")
+    same = stays.select(F.col("doc_id").alias("__fg_id"), F.col("raw_hash").alias("__fg_raw"), F.col("n").alias("__fg_n"))
+    same = materialise(same, "kept")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(*columns, F.xxhash64(F.col("text")).alias("__fg_text"))
     stay = rows.join(same, F.col("doc_id").eqNullSafe(F.col("__fg_id")) & (F.col("__fg_text") == F.col("__fg_raw")))
@@ -114,3 +112,10 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
         return once
     repeated = stay.where("__fg_n > 1").groupBy("__fg_id", "__fg_raw").agg(F.first(F.struct(*columns)).alias("__fg_row"))
     return once.unionByName(repeated.select("__fg_row.*"))
+
+
+def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The documents that stay, with all their columns."""
+    found = _resolve(docs, index or DigestIndex(docs.sparkSession))
+    same = found.groupBy("doc_id", "raw_hash").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    return take(docs, same.where("kept"))
