@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import hot_join, materialise
+from fleetgauge.llm.exact_dedup import take
 from fleetgauge.llm.simhash_kernel import fingerprint
 
 RADIUS = 4
@@ -253,7 +254,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _components_of(docs: DataFrame, width: int, radius: int, dense: int) -> DataFrame:
-    """(doc_id, raw_hash, fp, component_id) of each row."""
+    """(doc_id, raw_hash, fp, root, component_id) of each row."""
     prints = materialise(fingerprints(docs, width), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"))
     nodes = materialise(nodes, "nodes")
@@ -262,7 +263,7 @@ def _components_of(docs: DataFrame, width: int, radius: int, dense: int) -> Data
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialise(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_nodes"))
-    named = hot_join(rooted, ids, "root", "n_nodes", rooted.count()).select("fp", "n_docs", "component_id")
+    named = hot_join(rooted, ids, "root", "n_nodes", rooted.count()).select("fp", "n_docs", "root", "component_id")
     return hot_join(prints, materialise(named, "named"), "fp", "n_docs", prints.count())
 
 
@@ -275,9 +276,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, d
 def keep_representatives(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """The documents of which one per component stays: the one with the smallest id.
 
-    Rows without an id stay, as do repeated rows of the one that stays.
+    A row without id stays only where no row of its component has one; of
+    repeated rows, and of different texts that share the id, one stays.
     """
-    gone = _components_of(docs, width, radius, dense).where("doc_id <> component_id")
-    gone = gone.select(F.col("doc_id").alias("__fg_id"), F.col("raw_hash").alias("__fg_raw")).distinct()
-    same = (docs["doc_id"] == gone["__fg_id"]) & (F.xxhash64(docs["text"]) == gone["__fg_raw"])
-    return docs.join(gone, same, "left_anti")
+    rows = _components_of(docs, width, radius, dense).groupBy("root", "doc_id", "raw_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("raw_hash"), F.col("n")))
+    return take(docs, rows.groupBy("root").agg(first.alias("first")).select("first.doc_id", "first.raw_hash", "first.n"))
