@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Unit spellings and their factors to the base unit.
 PRESSURE_KPA = {"kpa": 1.0, "mpa": 1000.0, "bar": 100.0, "psi": 6.894757, "kgf/cm2": 98.0665}
-LIQUID_M3H = {"m3/h": 1.0, "m³/h": 1.0, "m3/min": 60.0, "l/min": 0.06, "l/h": 0.001, "gpm": 0.227125, "gph": 0.227125 / 60.0}
-GAS_NL_MIN = {"nl/min": 1.0, "nl/h": 1.0 / 60.0, "nm3/h": 1000.0 / 60.0, "ml/min": 0.001}
+LIQUID_M3H = {"m3/h": 1.0, "m³/h": 1.0, "m3/min": 60.0, "m³/min": 60.0, "l/min": 0.06, "l/h": 0.001, "gpm": 0.227125, "gph": 0.227125 / 60.0}
+GAS_NL_MIN = {"nl/min": 1.0, "nl/h": 1.0 / 60.0, "nml/min": 0.001, "sccm": 0.001, "slm": 1.0, "sl/min": 1.0, "nm3/h": 1000.0 / 60.0, "nm3/min": 1000.0}
 AREA_M2 = {"cm2": 1e-4, "m2": 1.0, "in2": 6.4516e-4}
 FORCE_N = {"n": 1.0, "kn": 1000.0}
 TEMPERATURE = {"c": (1.0, 0.0), "°c": (1.0, 0.0), "k": (1.0, -273.15), "f": (5.0 / 9.0, -160.0 / 9.0), "°f": (5.0 / 9.0, -160.0 / 9.0)}
