@@ -17,21 +17,61 @@ FALLBACK_SCRATCH = "/tmp/checkpoints/fleetgauge"
 #: ``1 / HOT_SHARE`` hot keys: the size bound of every broadcast made here.
 HOT_SHARE = 1 / 1000
 
+#: Folders that :func:`materialise` wrote, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables (``spark.checkpoint.dir``)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SCRATCH
+    """The shared folder for intermediate tables (``spark.checkpoint.dir``).
+
+    Without that setting a local session uses a folder of its machine; on a
+    cluster executors would not see each other's files there, so it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return FALLBACK_SCRATCH
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage with a table that survives lost executors and that later
-    branches read instead of computing it again.
+    branches read instead of computing it again.  :func:`clear_scratch` deletes
+    these tables when the results that read them are written.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of :func:`materialise` that nothing reads any more."""
+    delete_folder(table.sparkSession, table.scratch_path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that the operators of this application have left in the shared folder."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        delete_folder(spark, path)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever signs their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def words_of(text: Column) -> Column:
