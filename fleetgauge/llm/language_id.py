@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import remainder
+from fleetgauge.llm.common import columns_of, materialise, remainder
 from fleetgauge.llm.ngrams import ORDERS, grams, mix, normalised
 
 UND = "und"
@@ -126,6 +126,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: i
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     found = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = materialise(found, "grams")
     total = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not total:
         return BitmaskFilter.build({})
@@ -139,10 +140,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: i
 
 
 def judged(docs: DataFrame, model: BitmaskFilter, columns: list) -> DataFrame:
-    """``columns`` of the documents with lang_pred and score."""
+    """``columns`` of the documents, named c0, c1, ..., with lang_pred and score.
+
+    Columns go by position, so that any names pass.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.false_rate))
-    rows = docs.select(*columns, F.col("text").alias("__fg_text"))
-    schema = rows.drop("__fg_text").schema.add("__fg_lang", "string").add("__fg_score", "double")
+    names = [f"c{k}" for k in range(len(columns))]
+    rows = docs.select(*columns, F.col("text")).toDF(*names, "text")
+    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt = BitmaskFilter(*shared.value)
@@ -157,14 +162,13 @@ def judged(docs: DataFrame, model: BitmaskFilter, columns: list) -> DataFrame:
 def predict(docs: DataFrame, model: BitmaskFilter | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     model = model or learn(docs)
-    held = F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
+    held = F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     found = judged(docs, model, [F.col("doc_id"), held])
-    return found.select("doc_id", "held_out", F.col("__fg_lang").alias("lang_pred"), F.col("__fg_score").alias("score"))
+    return found.toDF("doc_id", "held_out", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, model: BitmaskFilter | None = None, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is identified with at least ``min_score``."""
     model = model or learn(docs)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = judged(docs, model, columns)
-    return found.where((F.col("__fg_lang") != UND) & (F.col("__fg_score") >= min_score)).select(columns)
+    found = judged(docs, model, columns_of(docs)).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    return found.drop("lang_pred", "score").toDF(*docs.columns)
