@@ -7,8 +7,10 @@ Inside each bucket, batches of a fixed token budget are formed.
 Documents longer than ``max_len`` are cut into pieces of ``max_len`` words and
 a rest, so that whole texts are packed.  Defined results: null and blank texts
 have no words and give no piece (they appear with piece null, in no batch);
-repeated rows are packed as often as they occur; an empty table gives no rows;
-other columns of the input are ignored.
+repeated rows and rows without id are packed as often as they occur, told apart
+by a row id that is written once, so groups stay small and slots unique however
+often an id occurs; which of equal rows gets which slot may differ between
+runs; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -64,8 +66,8 @@ def best_boundaries(counts: dict[int, int], buckets: int) -> list[int]:
 
 
 def pieces_of(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """(doc_id, doc_words, piece, start, n_words); piece is null for a document without words."""
-    sized = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("doc_words"))
+    """(doc_id, row_id, doc_words, piece, start, n_words); piece is null for a document without words."""
+    sized = docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.size(words_of(F.col("text"))).cast("long").alias("doc_words"))
     last = F.ceil(F.col("doc_words") / F.lit(max_len)).cast("long") - 1
     pieces = F.when(F.col("doc_words") > 0, F.sequence(F.lit(0).cast("long"), last))
     rows = sized.withColumn("piece", F.explode_outer(pieces)).withColumn("start", F.col("piece") * max_len)
@@ -92,9 +94,9 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget
         return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("bucket") + 1)
 
     rows = pieces.where("piece is not null").withColumn("bucket", bucket).withColumn("bucket_len", of_bucket(bounds).cast("long"))
-    order = F.xxhash64("doc_id", "piece")
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("piece", "doc_id", F.lit(7)), of_bucket(groups).cast("long")))
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("bucket", "group").orderBy(order, "doc_id", "piece")) - 1)
+    order = F.xxhash64("doc_id", "piece", "row_id")
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("piece", "doc_id", "row_id", F.lit(7)), of_bucket(groups).cast("long")))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("bucket", "group").orderBy(order, "doc_id", "piece", "row_id")) - 1)
     per_batch = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("bucket_len")))
     batch = F.concat_ws("-", "bucket", "group", F.floor(F.col("at") / per_batch))
     packed = rows.select(
