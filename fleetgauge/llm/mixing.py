@@ -4,18 +4,20 @@ Words are aggregated per source, weights and caps give each source a target
 and so a repetition rate, and every document is emitted floor(rate) times plus
 one hash-seeded Bernoulli copy with probability equal to the fraction.
 
-A document that holds more than ``LARGE`` of its source's words would let that
-coin alone decide how near the source comes to its target.  The coins of these
-documents (at most ``1 / LARGE`` per source) are therefore drawn together: in
-order of size, the k-th gets its copy when the fraction times k, shifted by a
-seeded offset of its source, passes a whole number, which happens with
-probability equal to the fraction.  Of ``OFFSETS`` such offsets a source takes
-the one that brings its large documents nearest to their expected words.
+Independent coins would let a few long documents move a small source off its
+target.  So the coins of a stratum (documents of one source whose sizes have
+the same power of two, split by hash into groups of about ``GROUP_ROWS``) share
+one seeded offset: in order of size, ties by the document's hash, the k-th gets
+its copy when the fraction times k plus the offset passes a whole number.  The
+offset is uniform, so each document's probability is the fraction exactly, and
+the copies of a group number its expectation rounded up or down.  All
+documents go by this one rule.
 
 Defined results: null text has size 0; a null source is a source, last in
-order; a source without words has target and rate 0; rows that repeat id,
-source and size share one coin; an empty table gives an empty mix; other
-columns are ignored by :func:`plan_mix` and passed on by :func:`emit`.
+order; a source without words has target and rate 0; rows that repeat id, text
+and source share one coin; rows without id go by their texts; an empty table
+gives an empty mix; other columns are ignored by :func:`plan_mix` and passed on
+by :func:`emit`.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import hot_join, materialise, words_of
+from fleetgauge.llm.common import columns_of, hot_join, materialise, words_of
 
 WEIGHTS = (5, 2, 1)
 #: All sources together give this share of all words.
@@ -31,8 +33,8 @@ SHARE = 1.5
 #: No source gives more than this many times its words.
 MOST = 2
 SEED = "mix"
-LARGE = 1 / 200
-OFFSETS = 16
+#: Documents that share one offset, about; bounds the rows of one task's window.
+GROUP_ROWS = 500
 
 
 def _unit(*parts: Column) -> Column:
@@ -41,6 +43,16 @@ def _unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
 
 
+def _draw() -> Column:
+    """The document's own number in [0, 1), from its id and whole text."""
+    return _unit(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
+def _stratum(size: Column) -> Column:
+    """Number of binary digits of a size."""
+    return F.length(F.bin(size))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row per source: source, n_docs, source_size, target.
 
@@ -69,43 +81,40 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return filled.select("source", "n_docs", "source_size", target.alias("target"))
 
 
+def _coins(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, draw, n_rows, copies, source_size, target): one row per coin."""
+    sizes = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), _draw().alias("draw"))
+    coins = materialise(sizes.groupBy("doc_id", "source", "size", "draw").agg(F.count(F.lit(1)).alias("n_rows")), "coins")
+    name = F.to_json(F.struct("source"))
+    coins = coins.withColumn("stratum", _stratum(F.col("size"))).withColumn("key", F.concat_ws("|", name, "stratum"))
+    weighed = coins.groupBy("source", "size").agg(F.sum("n_rows").alias("n"))
+    targets = source_targets(weighed.select("source", (F.col("size") * F.col("n")).alias("size")))
+    # One row per source and power of two.
+    strata = coins.groupBy("key", "source").agg(F.count(F.lit(1)).alias("n_coins"))
+    same = F.col("s.source").eqNullSafe(F.col("t.source"))
+    strata = strata.alias("s").join(targets.alias("t"), same).select("key", "n_coins", "source_size", "target")
+    strata = materialise(strata, "strata")
+    rows = hot_join(coins, strata, "key", "n_coins", coins.count())
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = rows.withColumn("rate", rate).withColumn("fraction", F.col("rate") - F.floor("rate"))
+    rows = rows.withColumn("part", F.floor(F.col("draw") * F.ceil(F.col("n_coins") / GROUP_ROWS)))
+    order = Window.partitionBy("key", "part").orderBy(F.col("size").desc(), "draw", "doc_id")
+    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("offset", _unit(F.lit("offset"), F.col("key"), F.col("part")))
+    passed = F.floor(F.col("fraction") * F.col("at") + F.col("offset")) - F.floor(F.col("fraction") * (F.col("at") - 1) + F.col("offset"))
+    copies = (F.floor("rate") + passed).cast("long")
+    return rows.select("doc_id", "source", "size", "draw", "n_rows", copies.alias("copies"), "source_size", "target")
+
+
 def plan_mix(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    sizes = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"))
-    sizes = materialise(sizes, "sizes")
-    keyed = sizes.withColumn("key", F.to_json(F.struct("source")))
-    targets = materialise(source_targets(sizes).withColumn("key", F.to_json(F.struct("source"))), "targets")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = hot_join(keyed, targets.drop("source"), "key", "n_docs", keyed.count())
-    rows = rows.withColumn("base", F.floor(rate)).withColumn("fraction", rate - F.floor(rate))
-    large = F.col("size") > F.col("source_size") * F.lit(LARGE)
-    small = rows.where(~large).withColumn("extra", (_unit(F.col("doc_id")) < F.col("fraction")).cast("long"))
-    # Few rows: a source has at most 1 / LARGE documents as large as this.
-    by_size = Window.partitionBy("key").orderBy(F.col("size").desc(), _unit(F.col("doc_id")), "doc_id")
-    mine = Window.partitionBy("key")
-    drawn = rows.where(large).withColumn("at", F.dense_rank().over(by_size))
-    for k in range(OFFSETS):
-        offset = _unit(F.lit(f"offset {k}"), F.col("key"))
-        passed = F.floor(F.col("fraction") * F.col("at") + offset) - F.floor(F.col("fraction") * (F.col("at") - 1) + offset)
-        drawn = drawn.withColumn(f"passed{k}", passed)
-    wanted = F.col("fraction") * F.sum("size").over(mine)
-    misses = [F.struct(F.abs(F.sum(F.col("size") * F.col(f"passed{k}")).over(mine) - wanted).alias("miss"), F.lit(k).alias("k")) for k in range(OFFSETS)]
-    drawn = drawn.withColumn("best", F.array_min(F.array(*misses))["k"])
-    extra = F.element_at(F.array(*[F.col(f"passed{k}") for k in range(OFFSETS)]), F.col("best") + 1)
-    drawn = drawn.withColumn("extra", extra).select(small.columns)
-    mixed = small.unionByName(drawn)
-    copies = (F.col("base") + F.col("extra")).cast("long")
-    return mixed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    rows = _coins(docs).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit(docs: DataFrame) -> DataFrame:
     """The mix itself: the documents, each as often as the plan says."""
-    plan = plan_mix(docs).where("copies > 0")
-    plan = plan.select(
-        F.col("doc_id").alias("__fg_id"), F.col("source").alias("__fg_source"), F.col("size").alias("__fg_size"), F.col("copies").alias("__fg_copies")
-    ).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    sized = docs.select(*columns, F.size(words_of(F.col("text"))).cast("long").alias("__fg_words"))
-    same = F.col("doc_id").eqNullSafe(F.col("__fg_id")) & F.col("source").eqNullSafe(F.col("__fg_source")) & (F.col("__fg_words") == F.col("__fg_size"))
-    rows = sized.join(plan, same).withColumn("__fg_copy", F.explode(F.sequence(F.lit(1), F.col("__fg_copies"))))
-    return rows.select(columns)
+    plan = _coins(docs).where("copies > 0").select("doc_id", "source", "draw", "copies").toDF("id", "from", "draw", "copies")
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("doc_id"), F.col("source"), _draw().alias("draw"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.id")) & F.col("d.source").eqNullSafe(F.col("p.from")) & (F.col("d.draw") == F.col("p.draw"))
+    taken = rows.alias("d").join(plan.alias("p"), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select("row.*").toDF(*docs.columns)

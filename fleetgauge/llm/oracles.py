@@ -28,11 +28,12 @@ def mix_sql() -> str:
         text = " || '|' || ".join([_text(mixing.SEED), *parts])
         return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / {float(16**13)!r}::DOUBLE)"
 
-    one = unit("doc_id::VARCHAR")
-    offset = unit("'offset ' || k::VARCHAR", "key")
+    draw = unit("coalesce(doc_id::VARCHAR, '')", "md5(coalesce(text, ''))")
+    offset = unit("'offset'", "key", "part::VARCHAR")
     return rf"""
 WITH sized AS (
-  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> ''))::BIGINT AS size
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> ''))::BIGINT AS size,
+    {draw} AS draw
   FROM documents),
 sums AS (SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -51,21 +52,21 @@ targets AS (
     CASE WHEN is_capped THEN {float(most)}::DOUBLE * source_size
          ELSE weight * (SELECT max(level) FROM capped WHERE NOT is_capped) END AS target
   FROM capped),
+coins AS (SELECT DISTINCT doc_id, source, size, draw FROM sized),
 rated AS (
-  SELECT doc_id, s.source, size, source_size, target,
-    CASE WHEN s.source IS NULL THEN '{{}}' ELSE '{{"source":"' || s.source || '"}}' END AS key,
+  SELECT doc_id, c.source, size, draw, source_size, target,
+    CASE WHEN c.source IS NULL THEN '{{}}' ELSE '{{"source":"' || c.source || '"}}' END || '|' || length(bin(size))::VARCHAR AS key,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-parted AS (SELECT *, floor(rate)::BIGINT AS base, rate - floor(rate) AS fraction, size > source_size * {mixing.LARGE}::DOUBLE AS large FROM rated),
-small AS (SELECT doc_id, size, source_size, target, base + CASE WHEN {one} < fraction THEN 1 ELSE 0 END AS copies FROM parted WHERE NOT large),
-ranked AS (SELECT *, dense_rank() OVER (PARTITION BY key ORDER BY size DESC, {one}, doc_id) AS pos FROM parted WHERE large),
-tried AS (
-  SELECT r.*, k, (floor(fraction * pos + {offset}) - floor(fraction * (pos - 1) + {offset}))::BIGINT AS passed
-  FROM ranked r CROSS JOIN range({mixing.OFFSETS}) AS o(k)),
-misses AS (SELECT key, k, abs(sum(size * passed)::DOUBLE - any_value(fraction) * sum(size)::DOUBLE) AS miss FROM tried GROUP BY key, k),
-best AS (SELECT key, k FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY miss, k) AS rn FROM misses) WHERE rn = 1),
-drawn AS (SELECT doc_id, size, source_size, target, base + passed AS copies FROM tried JOIN best USING (key, k))
-SELECT doc_id, size, source_size, target, copies * size AS taken FROM (SELECT * FROM small UNION ALL SELECT * FROM drawn)
+  FROM coins c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source),
+parted AS (
+  SELECT *, rate - floor(rate) AS fraction, floor(draw * ceil(count(*) OVER (PARTITION BY key) / {mixing.GROUP_ROWS}::DOUBLE))::BIGINT AS part
+  FROM rated),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY key, part ORDER BY size DESC, draw, doc_id) AS pos, {offset} AS shift FROM parted),
+drawn AS (
+  SELECT *, (floor(rate) + floor(fraction * pos + shift) - floor(fraction * (pos - 1) + shift))::BIGINT AS copies FROM ranked)
+SELECT s.doc_id, s.size, source_size, target, copies * s.size AS taken
+FROM sized s JOIN drawn d ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.source IS NOT DISTINCT FROM d.source AND s.draw = d.draw
 """
 
 
