@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import hot_join, materialise
+from fleetgauge.llm.common import discard, hot_join, materialise
 from fleetgauge.llm.exact_dedup import take
 from fleetgauge.llm.simhash_kernel import fingerprint
 
@@ -246,7 +246,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "star")
+        before, edges = edges, materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "star")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
