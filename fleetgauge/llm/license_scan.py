@@ -1,15 +1,22 @@
 """License scans with a positional rare-token index.
 
 Templates are the grant texts of common licenses.  Corpus document frequencies
-of their words give IDF weights; a template is indexed at the positions of its
-rarest words.  A file's licence words look up these postings, the relative
-positions give the places where the template would have to start, and a place
-holds if enough rare words, then enough of all words, and the template's
-mandatory phrase stand at the expected positions.  Base phrases are indexed by
-their rarest word and verified word by word, at every place.
-
-Only DataFrame functions run on the rows; each row is judged on its own, and
-the only shuffle is that of the word frequencies, one row per template word.
+of their words give IDF weights.  The index is one table for any number of
+templates: per template its words in order of IDF, each with its positions.
+
+1. A file's licence words are ranked by IDF: of each template it looks up the
+   ``RARE`` rarest words that it has itself, if these weigh at least
+   ``RARE_SHARE`` of the template's ``RARE`` rarest.
+2. Each hit and each posting of its word give the place where the template
+   would start.  The hits are sorted by template and place; places on which at
+   least ``VOTES`` hits agree are the intersection of the postings.
+3. There the template's mandatory phrase must stand word by word, and
+   ``WORD_SHARE`` of all its words at their positions.
+
+Base phrases are indexed by their rarest word and verified word by word, at
+every place.  Only DataFrame functions run on the rows; each row is judged on
+its own, and the only shuffle is that of the word frequencies, one row per
+template word.
 
 Defined results: a null or empty text has no words, no labels and score 0;
 repeated rows get equal results; an empty table gives no rows; other columns
@@ -88,9 +95,11 @@ TEMPLATES = {
 }
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rarest words by which a template is indexed.
+#: Rarest words of a template that a file looks up.
 RARE = 6
-#: Share of a template's rare words, and of all its words, that must stand at their positions.
+#: Hits that must agree on a place.
+VOTES = 3
+#: Share of the weight of a template's rarest words that a file must have, and of all its words that must stand at their positions.
 RARE_SHARE, WORD_SHARE = 0.5, 0.6
 
 
@@ -113,86 +122,101 @@ def rarest(words: list[str], idf: dict[str, float], n: int) -> list[str]:
     return sorted(set(words), key=lambda w: (-idf[w], w))[:n]
 
 
-def _word_at(at: Column) -> Column:
-    return F.get(F.col("words"), at)
+def _literal(value: object) -> Column:
+    """A nested list, tuple (fields a, b, c, ...) or number as one constant."""
+    if isinstance(value, list):
+        return F.array(*map(_literal, value))
+    if isinstance(value, tuple):
+        return F.struct(*[_literal(x).alias(name) for name, x in zip("abcdefgh", value, strict=False)])
+    return F.lit(value)
+
+
+def index_of(idf: dict[str, float]) -> Column:
+    """The index: per template label, words by IDF as (word, weight, positions), least weight, words, phrase and its place."""
+    entries = []
+    for label, (text, mandatory) in TEMPLATES.items():
+        words, phrase = text.split(), mandatory.split()
+        by_idf = rarest(words, idf, len(words))
+        postings = [(w, idf[w], [i for i, x in enumerate(words) if x == w]) for w in by_idf]
+        at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+        entries.append((label, postings, RARE_SHARE * sum(idf[w] for w in by_idf[:RARE]), words, phrase, at))
+    return _literal(entries)
+
+
+def _standing(words: Column, start: Column) -> Column:
+    """How many of ``words`` stand at their positions from ``start`` on."""
+    return F.size(F.filter(words, lambda w, k: F.get(F.col("words"), start + k) == w))
+
+
+def _phrase_places(phrase: list[str], anchor: str) -> Column:
+    """All places of a phrase, found by its anchor word and verified word by word."""
+
+    def stands(start: Column) -> Column:
+        same = [F.coalesce(F.get(F.col("words"), start + k) == w, F.lit(False)) for k, w in enumerate(phrase)]
+        return reduce(lambda a, b: a & b, same) & (start >= 0)
+
+    hits = F.filter("hits", lambda x: x["word"] == anchor)
+    return F.filter(F.transform(hits, lambda x: x["at"] - phrase.index(anchor)), stands)
+
+
+def _template_shares(rows: DataFrame, index: Column) -> DataFrame:
+    """``rows`` with ``found``: (label, share) of each template at each place where it holds."""
+    rows = rows.withColumn("present", F.array_distinct(F.transform("hits", lambda x: x["word"])))
+
+    def looked_up(template: Column) -> Column:
+        mine = F.slice(F.filter(template["b"], lambda w: F.array_contains("present", w["a"])), 1, RARE)
+        return F.struct(template["a"].alias("label"), mine.alias("mine"), template["c"].alias("least"), template["d"].alias("all"), template["e"].alias("phrase"), template["f"].alias("phrase_at"))
 
+    def heavy(x: Column) -> Column:
+        return F.aggregate(x["mine"], F.lit(0.0), lambda weight, w: weight + w["b"]) >= x["least"]
 
-def _stand_at(words: list[str], start: Column) -> Column:
-    """Whether all the words stand consecutively from ``start`` on."""
-    same = [F.coalesce(_word_at(start + k) == w, F.lit(False)) for k, w in enumerate(words)]
-    return reduce(lambda a, b: a & b, same) & (start >= 0)
+    some = F.size("present") >= VOTES
+    rows = rows.withColumn("plan", F.when(some, F.filter(F.transform(index, looked_up), heavy)))
+    some = F.size("plan") > 0
 
+    def places(x: Column, k: Column) -> Column:
+        of_word = F.transform(x["mine"], lambda w: F.flatten(F.transform(F.filter("hits", lambda h: h["word"] == w["a"]), lambda h: F.transform(w["c"], lambda at: F.struct(k.alias("k"), (h["at"] - at).alias("start"))))))
+        return F.flatten(of_word)
 
-def _share_at(words: list[tuple[int, str]], start: Column) -> Column:
-    same = [F.when(_word_at(start + k) == w, 1).otherwise(0) for k, w in words]
-    return reduce(lambda a, b: a + b, same) / F.lit(float(len(words)))
+    rows = rows.withColumn("votes", F.when(some, F.array_sort(F.flatten(F.transform("plan", places)))))
+    # Sorted, votes for one place are neighbours: its last one looks back at the one VOTES - 1 before.
+    agreed = F.filter("votes", lambda x, i: (F.get("votes", i - (VOTES - 1)) == x) & F.coalesce(F.get("votes", i + 1) != x, F.lit(True)))
+    rows = rows.withColumn("places", F.when(some, agreed))
+
+    def share(x: Column) -> Column:
+        template = F.get("plan", x["k"])
+        phrase = _standing(template["phrase"], x["start"] + template["phrase_at"]) == F.size(template["phrase"])
+        return F.struct(template["label"].alias("label"), F.when(phrase, _standing(template["all"], x["start"]) / F.size(template["all"])).alias("share"))
+
+    shares = F.filter(F.transform("places", share), lambda x: x["share"] >= WORD_SHARE)
+    return rows.withColumn("found", F.coalesce(shares, F.array().cast("array<struct<label:string,share:double>>")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row."""
     phrases = {p: p.split() for p in BASE}
-    texts = {label: text.split() for label, (text, _) in TEMPLATES.items()}
-    vocabulary = sorted({w for ws in (*phrases.values(), *texts.values()) for w in ws})
+    vocabulary = sorted({w for ws in phrases.values() for w in ws} | {w for text, _ in TEMPLATES.values() for w in text.split()})
     idf = inverse_frequencies(docs, vocabulary)
-    anchors = {p: rarest(ws, idf, 1)[0] for p, ws in phrases.items()}
-    rare = {label: rarest(ws, idf, RARE) for label, ws in texts.items()}
-    wanted = sorted({*anchors.values(), *(w for ws in rare.values() for w in ws)})
 
     rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(wanted))
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(vocabulary))
     rows = rows.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), placed.alias("hits"))
+    for k, words in enumerate(phrases.values()):
+        rows = rows.withColumn(f"base{k}", _phrase_places(words, rarest(words, idf, 1)[0]))
+    rows = _template_shares(rows, index_of(idf))
 
-    for k, (phrase, words) in enumerate(phrases.items()):
-        starts = F.transform(F.filter("hits", _is_word(anchors[phrase])), _minus(words.index(anchors[phrase])))
-        rows = rows.withColumn(f"base{k}", F.filter(starts, _stands(words)))
-    score: list[Column] = []
-    found: list[Column] = []
-    for label, words in texts.items():
-        postings = [(i, w) for i, w in enumerate(words) if w in rare[label]]
-        # Places where the template would start, from each hit and each of its postings.
-        starts = [F.transform(F.filter("hits", _is_word(w)), _minus(i)) for i, w in postings]
-        phrase = TEMPLATES[label][1].split()
-        at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-        shares = F.transform(
-            F.filter(F.array_distinct(F.concat(*starts)), _holds(postings, phrase, at)),
-            _shares(words),
-        )
-        name = f"share_{label}"
-        rows = rows.withColumn(name, F.when(F.size("hits") > 0, F.array_max(shares)))
-        holds = F.coalesce(F.col(name) >= WORD_SHARE, F.lit(False))
-        found.append(F.when(holds, F.lit(label)))
-        score.append(F.when(holds, F.col(name)).otherwise(0.0))
     bases = [F.size(f"base{k}") for k in range(len(phrases))]
     n_base = sum(bases[1:], bases[0])
-    base = [F.when(n > 0, F.lit(label)) for n, label in zip(bases, BASE.values(), strict=True)]
+    base = F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for n, label in zip(bases, BASE.values(), strict=True)]))
     places = F.concat(*[F.col(f"base{k}") for k in range(len(phrases))])
 
-    def joined(labels: list[Column]) -> Column:
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), ",")
+    def joined(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
+    best = F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0))
     return rows.select(
         "doc_id", "n_words", n_base.cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-        joined(base).alias("base_labels"), joined([*base, *found]).alias("labels"),
-        F.greatest(F.when(n_base > 0, 1.0).otherwise(0.0), *score).alias("score"),
+        joined(base).alias("base_labels"), joined(F.concat(base, F.transform("found", lambda x: x["label"]))).alias("labels"),
+        F.greatest(F.when(n_base > 0, 1.0).otherwise(0.0), best).alias("score"),
     )
-
-
-def _is_word(word: str):
-    return lambda x: x["word"] == word
-
-
-def _minus(offset: int):
-    return lambda x: x["at"] - offset
-
-
-def _stands(words: list[str]):
-    return lambda start: _stand_at(words, start)
-
-
-def _holds(postings: list[tuple[int, str]], phrase: list[str], at: int):
-    return lambda start: (_share_at(postings, start) >= RARE_SHARE) & _stand_at(phrase, start + at)
-
-
-def _shares(words: list[str]):
-    return lambda start: _share_at(list(enumerate(words)), start)
