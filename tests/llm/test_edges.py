@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetgauge.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_rules
+from fleetgauge.llm import common, exact_dedup, language_id, license_scan, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_rules
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -110,6 +110,69 @@ def test_index_persists(spark, tmp_path):
     assert again.rows().count() == 3
 
 
+def test_index_keeps_its_buckets_and_batches(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    index = exact_dedup.DigestIndex(spark, path)
+    assert all(r["kept"] for r in exact_dedup.annotate(docs, index, "one").collect())
+    spark.sql(f"DROP TABLE {index.name}")  # as in another catalogue
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        again = exact_dedup.DigestIndex(spark, path)
+        assert again.buckets == index.buckets
+        assert not any(r["kept"] for r in exact_dedup.annotate(docs, again, "two").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, again.buckets + 1)
+    # The first batch once more, as after a failure: the same answers, nothing added.
+    assert all(r["kept"] for r in exact_dedup.annotate(docs, again, "one").collect()) and again.rows().count() == 40
+    exact_dedup.annotate(spark.createDataFrame([(99, "new")], "doc_id long, text string"), again, "three").count()
+    again.compact()
+    assert again.rows().count() == 41 and exact_dedup.DigestIndex(spark, path).version == 1
+    assert not any(r["kept"] for r in exact_dedup.annotate(docs, exact_dedup.DigestIndex(spark, path), "four").collect())
+    assert len(again.rows().inputFiles()) <= again.buckets
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Cluster:
+        conf, sparkContext = spark.conf, type("C", (), {"master": "yarn"})
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError):
+            common.scratch_dir(Cluster)
+    table = common.materialise(spark.range(3), "probe")
+    assert table.count() == 3
+    common.clear_scratch(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.scratch_path).count()
+
+
+def test_packing_without_ids_and_with_ties(spark):
+    rows = [(None, "a b c")] * 900 + [(7, "a b c")] * 300
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=200).collect()
+    assert len(packed) == 1200 and len({(r["batch"], r["slot"]) for r in packed}) == 1200
+    groups = {}
+    for r in packed:
+        group = r["batch"].rsplit("-", 1)[0]
+        groups[group] = groups.get(group, 0) + 1
+    assert len(groups) == 6 and max(groups.values()) < 400
+
+
+def test_url_rules_with_repeated_null_ids(spark):
+    df = spark.createDataFrame([(None, None)] * 5 + [(None, "a://org/")] * 3, "page_id long, url string")
+    rows = url_rules.judge(df).collect()
+    assert sorted((r["host"], r["rule"]) for r in rows) == sorted([("", None)] * 5 + [("org", "org/")] * 3)
+
+
+def test_toxic_passages(spark, edge_docs, no_docs, labels):
+    model = toxicity.learn(edge_docs, labels)
+    assert toxicity.passages(no_docs, model).count() == 0
+    rows = toxicity.passages(edge_docs, model).collect()
+    assert all(r["doc_id"] in (None, *range(1, 11)) for r in rows)
+
+
 def test_quality_rules(edge_docs, no_docs):
     got = by_id(quality_rules.judge(edge_docs))
     assert got[3][0]["n_words"] == 0 and got[3][0]["base_failed"] and not got[3][0]["kept"]
