@@ -7,8 +7,10 @@ the posterior of a document's pattern is its label.  These labels train a
 linear scorer over hashed words and word shapes, with each document as a good
 and a bad example weighted by its posterior.
 
+Every text is read once: one pass of Arrow batches writes each document's votes
+and hashed features into a table, and learning and scoring read that table.
 The scorer is fitted on at most ``SAMPLE`` documents, the first by a hash of
-the id, with their whole texts.  ``labels`` is never read.
+the id, with the features of their whole texts.  ``labels`` is never read.
 
 Defined results: null, empty and blank texts are bad by vote and score like
 texts without features; rows without id are scored and counted but not trained
@@ -18,16 +20,21 @@ which all posteriors agree gets them as scores; other columns are ignored.
 
 from __future__ import annotations
 
+import operator
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import hash_sample, materialise, words_of
+from fleetgauge.llm.common import hash_sample, materialise
 
 SAMPLE = 10000
 FEATURES = 1 << 14
@@ -36,54 +43,123 @@ KEEP = 0.5
 #: Share of good documents EM starts from, and votes added to each cell.
 START, SMOOTH = 0.8, 1.0
 GOOD, BAD, ABSTAIN = 1, 0, -1
+NAMES = ("length", "symbols", "capitals", "stress", "bare_words", "echo", "variety", "pairs", "letters", "plain_words", "word_length")
+#: Distinct words a task remembers the shape and hashes of; then it starts anew.
+REMEMBERED = 1 << 17
 
+SYMBOLS = frozenset("#*$%&|<>{}\\^~=_")
+LETTER = regex.compile(r"\p{L}")
+LETTER_OR_DIGIT = regex.compile(r"[\p{L}\p{N}]")
+PLAIN = regex.compile(r"\p{L}+[.,;:]?")
+SHAPES = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{Ll}+"), "a"), (regex.compile(r"\p{N}+"), "0"))
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
 
+def _slot(token: str) -> int:
+    return xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass"), 42) % FEATURES
 
-def labellers(text: Column, words: Column) -> dict[str, Column]:
-    """The heuristic votes; they overlap on purpose."""
-    n = F.size(words)
-    chars = F.greatest(F.length(text), F.lit(1))
 
-    def share(outside: str) -> Column:
-        return F.length(F.regexp_replace(text, outside, "")) / chars
+class WordTable:
+    """Per distinct word: code points, letters, symbols, capitals, stress marks, bare, plain, and two feature slots."""
 
+    def __init__(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.rows = np.zeros((1024, 9), np.int64)
+
+    def look_up(self, counts: Counter[bytes]) -> np.ndarray:
+        """One row per word of ``counts``, in its order."""
+        if len(self.at) > REMEMBERED:
+            self.at = {}
+        for word in counts:
+            if word not in self.at:
+                if len(self.at) == len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows[len(self.at)] = describe(word)
+                self.at[word] = len(self.at)
+        return self.rows[np.fromiter(map(self.at.__getitem__, counts), np.int64, len(counts))]
+
+
+def describe(word: bytes) -> tuple[int, ...]:
+    text = word.decode("utf-8", "replace")
+    shape = text
+    for pattern, sign in SHAPES:
+        shape = pattern.sub(sign, shape)
+    return (
+        len(text),
+        len(LETTER.findall(text)),
+        sum(c in SYMBOLS for c in text),
+        sum("A" <= c <= "Z" for c in text),
+        sum(c in "!?" for c in text),
+        LETTER_OR_DIGIT.search(text) is None,
+        PLAIN.fullmatch(text) is not None,
+        _slot(text.lower()),
+        _slot(f"~{shape}"),
+    )
+
+
+SAME, OTHER = _slot("=same"), _slot("=other")
+
+
+def judge_text(text: bytes | None, table: WordTable) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Votes in the order of ``NAMES``, feature slots and their counts.
+
+    The features are words, word shapes (one sign for a run of small letters,
+    capitals or digits) and whether a word repeats the one before.  The
+    labellers overlap on purpose.
+    """
+    text = text or b""
+    words = text.split()  # of bytes: at 0x20 and 0x09-0x0D only
+    n = len(words)
+    counts = Counter(words)
+    rows = table.look_up(counts)
+    times = np.fromiter(counts.values(), np.int64, len(counts))
+    in_words, letters, symbols, upper, stress, bare, plain = (times @ rows[:, :7]).tolist()
+    chars = max(1, len(text.decode("utf-8", "replace")))
+    again = sum(map(operator.eq, words, words[1:]))
+    some = max(n, 1)
+    pairs = len(set(zip(words, words[1:], strict=False))) / some
+    distinct, mean = len(counts) / some, in_words / some
     long = n >= 20
-    symbols = share(r"[^#*$%&|<>{}\\^~=_]+")
-    upper = share(r"[^A-Z]+")
-    stress = share(r"[^!?]+")
-    bare = F.size(F.filter(words, lambda w: ~w.rlike(r"[\p{L}\p{N}]"))) / F.greatest(n, F.lit(1))
-    again = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(words, i) == F.get(words, i - 1)))
-    again = again / F.greatest(n, F.lit(1))
-    distinct = F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i)))
-    pairs = F.size(F.array_distinct(pairs)) / F.greatest(n, F.lit(1))
-    mean = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")) / F.greatest(n, F.lit(1))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) / F.greatest(mean * n, F.lit(1))
-    plain = F.size(F.filter(words, lambda w: w.rlike(r"^\p{L}+[.,;:]?$"))) / F.greatest(n, F.lit(1))
-    return {
-        "length": _vote(n >= 20, n == 0),
-        "symbols": _vote(long & (symbols < 0.02), symbols > 0.05),
-        "capitals": _vote(long & (upper < 0.1), long & (upper > 0.3)),
-        "stress": _vote(long & (stress < 0.01), long & (stress > 0.04)),
-        "bare_words": _vote(long & (bare < 0.05), long & (bare > 0.2)),
-        "echo": _vote(long & (again < 0.1), long & (again > 0.3)),
-        "variety": _vote((n >= 20) & (distinct > 0.4), (n >= 50) & (distinct < 0.25)),
-        "pairs": _vote(long & (pairs > 0.7), long & (pairs < 0.5)),
-        "letters": _vote(long & (letters > 0.9), long & (letters < 0.75)),
-        "plain_words": _vote(long & (plain > 0.8), long & (plain < 0.6)),
-        "word_length": _vote(long & mean.between(3, 8), long & ~mean.between(2, 12)),
-    }
-
-
-def votes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text and one vote column per labeller (prefix ``vote_``)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("words", words_of(F.col("text")))
-    votes = [v.cast("byte").alias(f"vote_{k}") for k, v in labellers(F.col("text"), F.col("words")).items()]
-    return rows.select("doc_id", "text", *votes)
+
+    def vote(good: bool, bad: bool) -> int:
+        return BAD if bad else GOOD if good else ABSTAIN
+
+    votes = [
+        vote(long, n == 0),
+        vote(long and symbols / chars < 0.02, symbols / chars > 0.05),
+        vote(long and upper / chars < 0.1, long and upper / chars > 0.3),
+        vote(long and stress / chars < 0.01, long and stress / chars > 0.04),
+        vote(long and bare / some < 0.05, long and bare / some > 0.2),
+        vote(long and again / some < 0.1, long and again / some > 0.3),
+        vote(long and distinct > 0.4, n >= 50 and distinct < 0.25),
+        vote(long and pairs > 0.7, long and pairs < 0.5),
+        vote(long and letters / max(in_words, 1) > 0.9, long and letters / max(in_words, 1) < 0.75),
+        vote(long and plain / some > 0.8, long and plain / some < 0.6),
+        vote(long and 3 <= mean <= 8, long and not 2 <= mean <= 12),
+    ]
+    slots = np.r_[rows[:, 7], rows[:, 8], SAME, OTHER]
+    slots, where = np.unique(slots, return_inverse=True)
+    weights = np.bincount(where, np.r_[times, times, again, max(n - 1 - again, 0)], len(slots)).astype(np.int32)
+    return votes, slots[weights > 0].astype(np.int16), weights[weights > 0]
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, one vote column per labeller (prefix ``vote_``), slots and counts of the features; reads every text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [judge_text(t.as_py(), table) for t in part.column(1)]
+                votes = np.array([f[0] for f in found], np.int8)
+                ends = pa.array(np.r_[0, np.cumsum([len(f[1]) for f in found])].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[k] for f in found]))) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v) for v in votes.T], *lists], names)
+
+    names = ["doc_id", *[f"vote_{k}" for k in NAMES], "slots", "counts"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    votes = ", ".join(f"vote_{k} byte" for k in NAMES)
+    return rows.mapInArrow(run, f"doc_id long, {votes}, slots array<short>, counts array<int>")
 
 
 @dataclass
@@ -143,43 +219,50 @@ def learn_labels(votes: DataFrame) -> tuple[LabelModel, DataFrame]:
     return model, votes.sparkSession.createDataFrame(rows, schema)
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """``rows`` with hashed shares of words, word shapes and echoes.
+def fit_scorer(train: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the logistic scorer, from (slots, counts, posterior) of at most ``SAMPLE`` rows."""
 
-    A shape has one sign for a run of small letters, capitals or digits.  The
-    words are a column of their own: inside a lambda their expression would be
-    evaluated once per word.
-    """
-    text = F.col("text")
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), r"\p{N}+", "0")
-    rows = rows.withColumn("words", words_of(text)).withColumn("shapes", words_of(shape))
-    before = F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1)))
-    echo = F.transform(before, lambda i: F.when(F.get(F.col("words"), i) == F.get(F.col("words"), i - 1), "=same").otherwise("=other"))
-    tokens = F.concat(F.transform("words", F.lower), F.transform("shapes", lambda s: F.concat(F.lit("~"), s)), echo)
-    rows = rows.withColumn("tokens", tokens).drop("words", "shapes")
-    counted = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=FEATURES).transform(rows)
-    return Normalizer(inputCol="counts", outputCol="features", p=1.0).transform(counted).drop("tokens", "counts")
+    def vector(slots, counts):
+        total = float(sum(counts)) or 1.0
+        return SparseVector(FEATURES, slots, [c / total for c in counts])
+
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight"))))
+    rows = train.select(F.udf(vector, VectorUDT())("slots", "counts").alias("features"), both.alias("example"))
+    examples = rows.select("features", "example.label", "example.weight").where("weight > 1e-6")
+    fitted = LogisticRegression(weightCol="weight", regParam=1e-5, maxIter=50, standardization=True).fit(examples)
+    return fitted.coefficients.toArray(), float(fitted.intercept)
+
+
+def scored(rows: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
+    """(doc_id, posterior, score) by the linear scorer; its weights are one fixed-size array."""
+    shared = rows.sparkSession.sparkContext.broadcast((weights, intercept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, bias = shared.value
+        for batch in batches:
+            slots, counts = batch.column(2), batch.column(3)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(slots.offsets.to_numpy()))
+            count = counts.flatten().to_numpy()
+            of_row = np.bincount(row, count * weight[slots.flatten().to_numpy()], batch.num_rows)
+            total = np.bincount(row, count, batch.num_rows)
+            margin = bias + of_row / np.maximum(total, 1)
+            score = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["doc_id", "posterior", "score"])
+
+    return rows.select("doc_id", "posterior", "slots", "counts").mapInArrow(run, "doc_id long, posterior double, score double")
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
     """One row per document: doc_id, weak_label (posterior of its votes), score, kept."""
-    votes = votes_of(docs)
-    names = [c for c in votes.columns if c.startswith("vote_")]
-    voted = materialise(votes.drop("text"), "votes")
-    model, patterns = learn_labels(voted)
-    patterns = F.broadcast(patterns)
-    ids = hash_sample(voted.where("doc_id is not null").select("doc_id").distinct(), "doc_id", sample)
-    sampled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    chosen = votes_of(sampled).join(patterns, names).select("text", "posterior")
-    train = materialise(chosen, "weakly-labelled")
+    table = materialise(judged(docs), "votes")
+    names = [c for c in table.columns if c.startswith("vote_")]
+    _, patterns = learn_labels(table.select(names))
+    rows = table.join(F.broadcast(patterns), names)  # every pattern of the table is there
+    ids = hash_sample(table.where("doc_id is not null").select("doc_id").distinct(), "doc_id", sample)
+    train = materialise(rows.join(F.broadcast(ids), "doc_id", "left_semi").select("slots", "counts", "posterior"), "weakly-labelled")
     edges = train.agg(F.min("posterior"), F.max("posterior")).first()
-    rows = _features(votes_of(docs)).join(patterns, names, "left")
     if edges[0] is None or edges[1] - edges[0] < 1e-6:
-        score = F.col("posterior")
+        rows = rows.select("doc_id", "posterior", F.col("posterior").alias("score"))
     else:
-        both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight"))))
-        examples = _features(train).select("features", both.alias("example")).select("features", "example.label", "example.weight")
-        fitted = LogisticRegression(weightCol="weight", regParam=1e-5, maxIter=50, standardization=True).fit(examples.where("weight > 1e-6"))
-        rows = fitted.transform(rows)
-        score = vector_to_array("probability")[1]
-    return rows.select("doc_id", F.col("posterior").alias("weak_label"), score.alias("score"), (score >= keep).alias("kept"))
+        rows = scored(rows, *fit_scorer(train))
+    return rows.select("doc_id", F.col("posterior").alias("weak_label"), "score", (F.col("score") >= keep).alias("kept"))

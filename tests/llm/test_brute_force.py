@@ -110,6 +110,19 @@ def test_mix_meets_its_targets(docs):
         assert abs(sum(r["taken"] for r in rs) - targets[s]) <= 0.03 * targets[s] + max(r["size"] for r in rs) / 2
 
 
+def test_coins_are_fair_and_reruns_agree(spark):
+    rows = [(k, "w " * (1 + k % 37), f"s{k % 3}") for k in range(6000)]
+    plan = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    first = sorted(plan.collect())
+    assert first == sorted(plan.collect())
+    for source in ("s0", "s1", "s2"):
+        mine = [r for r in first if r["source"] == source]
+        rate = mine[0]["target"] / mine[0]["source_size"]
+        for low in (1, 8, 16):  # in every range of sizes as many as the fraction says
+            some = [r["copies"] for r in mine if low <= r["size"] < 2 * low]
+            assert abs(np.mean(some) - rate) < 0.03
+
+
 def test_boundaries_are_optimal():
     rng = random.Random(2)
     for _ in range(30):
@@ -193,6 +206,78 @@ def test_weak_labels_find_bad_documents(docs, labels):
     assert np.mean([not r["kept"] for r in bad]) > 0.9 and np.mean([r["kept"] for r in good]) > 0.98
 
 
+def test_votes_and_features_against_plain_python(docs):
+    texts = [r["text"] for r in docs.limit(150).collect()] + [None, "", " \t", "One", "a a a b", "É é Übung! 12 #x", "x " * 60, "A!B?c " * 30]
+    table = quality_model.WordTable()
+    for text in texts:
+        votes, slots, counts = quality_model.judge_text(None if text is None else text.encode(), table)
+        assert votes == slow_votes(text or "")
+        tokens = slow_tokens(text or "")
+        expected = {}
+        for token in tokens:
+            slot = xxhash.xxh32_intdigest(token.encode(), 42) % quality_model.FEATURES
+            expected[slot] = expected.get(slot, 0) + 1
+        assert dict(zip(slots.tolist(), counts.tolist(), strict=True)) == expected
+
+
+def slow_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+
+
+def slow_votes(text):
+    words, chars = slow_words(text), max(1, len(text))
+    n, some = len(words), max(1, len(words))
+    inside = sum(map(len, words))
+
+    def share(signs):
+        return sum(c in signs for c in text) / chars
+
+    def vote(good, bad):
+        return 0 if bad else 1 if good else -1
+
+    pairs = len({(words[k], words[k + 1]) for k in range(n - 1)}) / some
+    again = sum(words[k] == words[k + 1] for k in range(n - 1)) / some
+    distinct, mean = len(set(words)) / some, inside / some
+    symbols, upper, stress = share("#*$%&|<>{}\\^~=_"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("!?")
+    bare = sum(not re.search(r"[^\W_]", w) for w in words) / some
+    letters = sum(c.isalpha() for c in text) / max(1, inside)
+    plain = sum(w.rstrip(".,;:").isalpha() and len(w) - len(w.rstrip(".,;:")) <= 1 for w in words) / some
+    long = n >= 20
+    return [
+        vote(long, n == 0), vote(long and symbols < 0.02, symbols > 0.05), vote(long and upper < 0.1, long and upper > 0.3),
+        vote(long and stress < 0.01, long and stress > 0.04), vote(long and bare < 0.05, long and bare > 0.2),
+        vote(long and again < 0.1, long and again > 0.3), vote(long and distinct > 0.4, n >= 50 and distinct < 0.25),
+        vote(long and pairs > 0.7, long and pairs < 0.5), vote(long and letters > 0.9, long and letters < 0.75),
+        vote(long and plain > 0.8, long and plain < 0.6), vote(long and 3 <= mean <= 8, long and not 2 <= mean <= 12),
+    ]
+
+
+def slow_tokens(text):
+    words = slow_words(text)
+    shapes = ["".join(k for k, _ in itertools.groupby("A" if c.isupper() else "a" if c.islower() else "0" if c.isnumeric() else c for c in w)) for w in words]
+    shapes = [s if not re.search(r"([^Aa0])\1", w) else None for s, w in zip(shapes, words, strict=True)]
+    for k, w in enumerate(words):
+        if shapes[k] is None:  # other signs are not run together
+            shapes[k] = re.sub("0+", "0", re.sub("a+", "a", re.sub("A+", "A", "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isnumeric() else c for c in w))))
+    echoes = ["=same" if words[k] == words[k - 1] else "=other" for k in range(1, len(words))]
+    return [w.lower() for w in words] + [f"~{s}" for s in shapes] + echoes
+
+
+def test_language_counts_against_plain_python():
+    rng = np.random.default_rng(3)
+    texts = {"aa": "abra kadabra " * 30, "bb": "xyzzy plugh " * 30}
+    found = {k: np.unique(np.concatenate(list(language_id.grams(language_id.normalised(t))))).view(np.int64) for k, t in texts.items()}
+    filt = language_id.BitmaskFilter.build(found, 1 << 12)
+    known = {k: set(v.view(np.uint64).tolist()) for k, v in found.items()}
+    for text in ("abra xyzzy", "Plugh, kadabra!", "", "123", "".join(map(chr, rng.integers(97, 123, 40)))):
+        grams = np.concatenate([np.zeros(0, np.uint64), *language_id.grams(language_id.normalised(text))]).tolist()
+        n, hits = filt.counts(text)
+        assert n == len(grams)
+        for k, lang in enumerate(filt.languages):
+            true = sum(g in known[lang] for g in grams)
+            assert true <= hits[k] <= true + 6 * filt.false_rate[k] * n + 3
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(7)
     truth = rng.random(20000) < 0.8
@@ -213,11 +298,20 @@ def test_pipeline_against_plain_stages(spark, docs):
     for d in sorted(kept):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[d]["text"]), d)
     kept = {d: kept[d] for d in first.values()}
-    prints = {d: slow_fingerprint(r["text"]) for d, r in kept.items()}
-    roots = slow_components(sorted(set(prints.values())))
+    sets = {d: shingles(r["text"]) for d, r in kept.items()}
+    root = {d: d for d in kept}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(kept, 2):
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            root[find(a)] = find(b)
     least = {}
     for d in sorted(kept):
-        least.setdefault(roots[prints[d]], d)
+        least.setdefault(find(d), d)
     left = [kept[d] for d in least.values()]
     mix = {r["doc_id"]: r["copies"] for r in mixing.plan_mix(spark.createDataFrame(left, docs.schema)).collect()}
     expected = sorted((d, s) for d, n in mix.items() for s in pieces(kept[d]["text"]) for _ in range(n))
@@ -225,6 +319,12 @@ def test_pipeline_against_plain_stages(spark, docs):
     assert got == expected
 
 
+def shingles(text):
+    """Sets of word 5-shingles; the near-dedup stage links texts of Jaccard similarity 0.8 or more."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
 def pieces(text):
     n = len([w for w in re.split(r"[\x20\x09-\x0D]+", text) if w])
     return [min(packing.MAX_LEN, n - at) for at in range(0, n, packing.MAX_LEN)] or [0]
