@@ -1,4 +1,9 @@
-"""Joins of intervals, always within an equal key."""
+"""Joins of intervals and points, always within an equal key and a common slice of the axis.
+
+A slice has about the mean length of the intervals, and each interval is listed
+once in every slice that it touches.  So long records with many intervals don't
+pair everything with everything.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +11,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _slices(ranges: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
+    """Per key the width of a slice: the mean length of its intervals, at least a ten-thousandth of their span."""
+    span = (F.max(high) - F.min(low)) / 10000
+    width = F.greatest(F.avg(F.col(high) - F.col(low)), span, F.lit(1e-6))
+    return ranges.groupBy(*keys).agg(width.cast("double").alias("__width"), F.min(low).alias("__first"), F.max(high).alias("__last"))
+
+
+def _slice(at: str | Column) -> Column:
+    return F.floor((F.col(at) if isinstance(at, str) else at) / F.col("__width"))
+
+
+def points_within(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, low: str, high: str) -> DataFrame:
+    """Pairs of a point and an interval with ``at`` in ``[low, high]``, with the columns of both."""
+    width = _slices(ranges, keys, low, high)
+    listed = ranges.join(width, keys).withColumn("__slice", F.explode(F.sequence(_slice(low), _slice(high)))).drop("__width", "__first", "__last")
+    placed = points.join(width, keys).withColumn("__slice", _slice(at)).drop("__width", "__first", "__last")
+    return placed.join(listed, [*keys, "__slice"]).where(F.col(at).between(F.col(low), F.col(high))).drop("__slice")
+
+
 def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of intervals (start_at, end_at) with a common part of positive length, and that length.
 
-    Columns of ``b`` besides the keys get the prefix ``b_``.
+    Columns of ``b`` besides the keys get the prefix ``b_``.  A pair meets in
+    all slices it shares and is taken in the first of them.
     """
     other = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
-    both = a.join(other, keys).where((F.col("b_start_at") < F.col("end_at")) & (F.col("b_end_at") > F.col("start_at")))
+    width = _slices(a, keys, "start_at", "end_at")
+    left = a.join(width, keys).withColumn("__slice", F.explode(F.sequence(_slice("start_at"), _slice("end_at"))))
+    right = other.join(width, keys).where("b_end_at > b_start_at and b_end_at > __first and b_start_at < __last")
+    touched = F.sequence(_slice(F.greatest("b_start_at", "__first")), _slice(F.least("b_end_at", "__last")))
+    right = right.withColumn("__slice", F.explode(touched)).drop("__width", "__first", "__last")
+    both = left.join(right, [*keys, "__slice"]).where((F.col("b_start_at") < F.col("end_at")) & (F.col("b_end_at") > F.col("start_at")))
+    both = both.where(F.col("__slice") == _slice(F.greatest("start_at", "b_start_at"))).drop("__slice", "__width", "__first", "__last")
     return both.withColumn("overlap", F.least("end_at", "b_end_at") - F.greatest("start_at", "b_start_at"))
 
 
 def overlap_share(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Per interval of ``a`` the share of it that intervals of ``b`` cover (0 where none does)."""
-    id_columns = [*keys, "start_at", "end_at"]
-    covered = overlaps(a.select(*id_columns), b, keys).groupBy(*id_columns).agg(F.sum("overlap").alias("covered"))
+    """Per interval of ``a`` the share of it that intervals of ``b`` cover (0 where none does); repeated intervals stay apart."""
+    each = a.select(*keys, "start_at", "end_at").distinct()
+    covered = overlaps(each, b, keys).groupBy(*keys, "start_at", "end_at").agg(F.sum("overlap").alias("covered"))
+    found = a.join(covered, [*keys, "start_at", "end_at"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
     length = F.col("end_at") - F.col("start_at")
-    found = a.join(covered, id_columns, "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
     return found.withColumn("share", F.when(length > 0, F.col("covered") / length))
 
 
