@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetgauge.functions import units
 from fleetgauge.functions.verdicts import validity
 
 #: First failing gate wins.
@@ -67,3 +68,111 @@ def compare_chains(pre: DataFrame, post: DataFrame) -> DataFrame:
     status = F.when(F.col("pre_digest").isNull(), "post_only").when(F.col("post_digest").isNull(), "pre_only")
     status = status.when(F.col("pre_digest") == F.col("post_digest"), "same").otherwise("recalibrated")
     return both.withColumn("status", status).withColumn("delta", F.col("post_correction") - F.col("pre_correction"))
+
+
+def test_interval(samples: DataFrame, tests: DataFrame) -> DataFrame:
+    """(test_id, starts, ends, max_t): from the recorded start, else the submission, to the latest sample of any channel."""
+    last = samples.groupBy("test_id").agg(F.max("t").alias("max_t"))
+    starts = F.coalesce("started_at", "submitted_at")
+    rows = tests.join(last, "test_id").withColumn("starts", starts)
+    ends = F.timestamp_micros(F.unix_micros(F.col("starts").cast("timestamp")) + F.round(F.col("max_t") * 1e6).cast("long"))
+    return rows.select("test_id", F.col("starts").cast("timestamp").alias("starts"), ends.alias("ends"), "max_t")
+
+
+def present_channels(samples: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(test_id, channel, measurement_type, unit, low, high) of the channels that have points and are subject to calibration."""
+    table = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    rows = samples.where(F.col("channel").isin(*kinds))
+    return rows.groupBy("test_id", "channel").agg(F.element_at(table, F.first("channel")).alias("measurement_type"), F.first("unit").alias("unit"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def version_problems(certificates: DataFrame) -> DataFrame:
+    """``certificates`` with the problems (array of codes) that forbid registering them.
+
+    Columns: valid_from, valid_until, measurement_type, unit, range_min,
+    range_max, points, standard_uncertainty.
+    """
+    c = F.col
+    known = increasing(c("points"))
+    first, last = F.get("points", F.lit(0))["ind"], F.element_at("points", -1)["ind"]
+    ranged = c("range_min").isNotNull() & c("range_max").isNotNull()
+    problems = F.array_compact(F.array(
+        F.when(c("valid_from").isNull() | c("valid_until").isNull(), "interval_unparsable").when(c("valid_from") >= c("valid_until"), "interval_empty"),
+        F.when(~units.same_family(c("measurement_type"), c("unit")), "unit_incompatible"),
+        F.when(ranged & (c("range_max") <= c("range_min")), "range_empty"),
+        F.when(~known, "points_nonmonotonic").when(ranged & ((first < c("range_min") - 1e-9) | (last > c("range_max") + 1e-9)), "points_outside_range"),
+        F.when(c("standard_uncertainty") <= 0, "uncertainty_nonpositive"),
+    ))
+    return certificates.withColumn("problems", problems)
+
+
+def frozen(certificates: DataFrame) -> DataFrame:
+    """(version_id, certificate): each certificate's row as one struct, to be stored with a result."""
+    return certificates.select("version_id", F.struct(*[F.col(c) for c in certificates.columns]).alias("certificate"))
+
+
+def correct_samples(samples: DataFrame, chain: DataFrame, certificates: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``samples`` (test_id, channel, idx, t, v, unit) of accepted channels corrected, others as they are, with ``shift``.
+
+    A reading goes into the certificate's unit, through its points and back;
+    ``ranges`` (test_id, range_low, range_high) serve travel units.
+    """
+    c = F.col
+    used = chain.where("accepted").select("test_id", "channel", "version_id")
+    certs = certificates.select("version_id", "points", c("unit").alias("cert_unit"), "measurement_type")
+    rows = samples.join(used, ["test_id", "channel"], "left").join(F.broadcast(certs), "version_id", "left").join(ranges, "test_id", "left")
+    there = units.convert(c("v"), c("unit"), c("cert_unit"), c("measurement_type"), c("range_low"), c("range_high"))
+    rows = rows.withColumn("__r", corrected(there, c("points")))
+    back = units.convert(c("__r"), c("cert_unit"), c("unit"), c("measurement_type"), c("range_low"), c("range_high"))
+    rows = rows.withColumn("raw", c("v")).withColumn("v", F.coalesce(back, c("v"))).withColumn("shift", c("v") - c("raw"))
+    return rows.select("test_id", "channel", "idx", "t", "v", "unit", "raw", "shift", "version_id")
+
+
+def correction_stats(corrected_rows: DataFrame, kept: int = 8) -> DataFrame:
+    """Per corrected channel the mean and largest shift, the corrected range, and up to ``kept`` evenly spaced shifts."""
+    c = F.col
+    n = F.count(F.lit(1)).over(_of_channel())
+    stride = F.greatest(F.lit(1), F.ceil(n / kept))
+    rows = corrected_rows.where("version_id is not null").withColumn("__k", F.row_number().over(_of_channel().orderBy("idx")) - 1).withColumn("__s", stride)
+    some = F.array_sort(F.collect_list(F.when(c("__k") % c("__s") == 0, F.struct("idx", "shift"))))
+    found = rows.groupBy("test_id", "channel", "version_id").agg(
+        F.round(F.avg("shift"), 6).alias("mean_shift"), F.round(F.max(F.abs("shift")), 6).alias("max_shift"), F.round(F.min("v"), 6).alias("low"), F.round(F.max("v"), 6).alias("high"), some.alias("x")
+    )
+    return found.withColumn("shifts", F.transform("x", lambda s: F.round(s["shift"], 6))).drop("x")
+
+
+def _of_channel():
+    return Window.partitionBy("test_id", "channel")
+
+
+def chain_components(chain: DataFrame, certificates: DataFrame, channels: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(test_id, channel, value, unit): the certificates' standard uncertainties in the channels' units."""
+    c = F.col
+    rows = chain.where("accepted").select("test_id", "channel", "version_id").join(F.broadcast(certificates.select("version_id", c("unit").alias("cert_unit"), "measurement_type", "standard_uncertainty")), "version_id")
+    rows = rows.join(channels.select("test_id", "channel", "unit"), ["test_id", "channel"]).join(ranges, "test_id", "left")
+    value = units.convert_spread(c("standard_uncertainty"), c("cert_unit"), c("unit"), c("measurement_type"), c("range_low"), c("range_high"))
+    return rows.select("test_id", "channel", value.alias("value"), "unit").where("value is not null")
+
+
+def legacy_block(tests: DataFrame) -> DataFrame:
+    """(test_id, code) of tests without bindings whose one validity date is missing or before the test."""
+    c = F.col
+    code = F.when(c("calibration_valid_until").isNull(), "calibration_missing").when(c("calibration_valid_until") < F.coalesce("started_at", "submitted_at"), "calibration_expired")
+    return tests.select("test_id", code.alias("code")).where("code is not null")
+
+
+def resolve_bindings(override: Column, previous: Column, submitted: Column) -> Column:
+    """The map channel -> version that an analysis uses: the override (an empty one: none), the last version's, the submission's; null means the single date holds."""
+    mine = F.when(F.size(override) > 0, F.map_filter(override, lambda _, v: v.isNotNull()))
+    return F.when(override.isNotNull(), mine).when(previous.isNotNull(), previous).otherwise(F.map_filter(submitted, lambda _, v: v.isNotNull()))
+
+
+def bindings_of(raw: Column) -> Column:
+    """A list of (channel, calibration_version_id) as a map; of repeated channels the last one holds."""
+    last = F.filter(raw, lambda x, i: ~F.exists(F.slice(raw, i + 2, F.greatest(F.size(raw), F.lit(1))), lambda y: y["channel"] == x["channel"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["channel"], x["calibration_version_id"])))
+
+
+def rebind_record(author: Column, bindings: Column) -> Column:
+    """Audit entry of a rebinding."""
+    return F.struct(F.lit("calibration_rebind").alias("type"), author.alias("author"), bindings.alias("bindings"))

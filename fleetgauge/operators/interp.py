@@ -65,16 +65,17 @@ def nearest(points: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame
     return found.withColumn("near", F.when(F.col("n").isNull(), F.col("p")).otherwise(near)).drop("p", "n")
 
 
-def align(samples: DataFrame, channels: list[str], low: float = 0.02, high: float = 1.0) -> DataFrame:
-    """Wide table of all ``channels`` on their common grid: test_id, i, t, one column per channel."""
+def align(samples: DataFrame, channels: list[str], low: float = 0.02, high: float = 1.0, keys: list[str] | None = None) -> DataFrame:
+    """Wide table of all ``channels`` on their common grid: keys (by default test_id), i, t, one column per channel."""
+    keys = keys or ["test_id"]
     wanted = samples.where(F.col("channel").isin(channels))
-    has_all = wanted.groupBy("test_id").agg(F.countDistinct("channel").alias("n")).where(F.col("n") == len(channels))
-    wanted = wanted.join(has_all.select("test_id"), "test_id", "left_semi")
-    grid = grid_of(wanted, ["test_id"], low, high)
+    has_all = wanted.groupBy(*keys).agg(F.countDistinct("channel").alias("n")).where(F.col("n") == len(channels))
+    wanted = wanted.join(has_all.select(*keys), keys, "left_semi")
+    grid = grid_of(wanted, keys, low, high)
     each = grid.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
-    filled = linear(each.select("test_id", "channel", "t", "i"), wanted, ["test_id", "channel"])
+    filled = linear(each.select(*keys, "channel", "t", "i"), wanted, [*keys, "channel"])
     pivoted = [F.max(F.when(F.col("channel") == c, F.col("v"))).alias(c) for c in channels]
-    return filled.groupBy("test_id", "i").agg(F.max("t").alias("t"), *pivoted)
+    return filled.groupBy(*keys, "i").agg(F.max("t").alias("t"), *pivoted)
 
 
 def coverage(samples: DataFrame, keys: list[str], low: Column, high: Column) -> DataFrame:
