@@ -38,7 +38,7 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """
     other = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
     width = _slices(a, keys, "start_at", "end_at")
-    left = a.join(width, keys).withColumn("__slice", F.explode(F.sequence(_slice("start_at"), _slice("end_at"))))
+    left = a.where("end_at > start_at").join(width, keys).withColumn("__slice", F.explode(F.sequence(_slice("start_at"), _slice("end_at"))))
     right = other.join(width, keys).where("b_end_at > b_start_at and b_end_at > __first and b_start_at < __last")
     touched = F.sequence(_slice(F.greatest("b_start_at", "__first")), _slice(F.least("b_end_at", "__last")))
     right = right.withColumn("__slice", F.explode(touched)).drop("__width", "__first", "__last")

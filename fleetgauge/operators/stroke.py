@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.operators import runs
+from fleetgauge.operators import intervals, runs
 
 
 def _along(keys: list[str]):
@@ -34,15 +34,15 @@ def segments(grid: DataFrame, keys: list[str], command: str, rows_ahead: int, th
 
 
 def travel(grid: DataFrame, segs: DataFrame, keys: list[str], position: str, band: float) -> DataFrame:
-    """Per motion segment the first time, up to the end of the next segment, at which the position is within ``band`` of the target."""
+    """Per motion segment the first time, up to the end of the next segment, at which the position is within ``band`` of the target; null if there is none."""
     ordered = Window.partitionBy(*keys).orderBy("run")
     reach = segs.withColumn("i_last", F.coalesce(F.lead("i_end").over(ordered), F.col("i_end"))).where("direction <> 0")
     points = grid.select(*keys, F.col("i").alias("__i"), F.col("t").alias("__t"), F.col(position).alias("__p"))
-    both = reach.join(points, keys).where(F.col("__i").between(F.col("i_start"), F.col("i_last")))
+    both = intervals.points_within(points, reach, keys, "__i", "i_start", "i_last")
     reached = F.min(F.when(F.abs(F.col("__p") - F.col("target")) <= band, F.col("__t")))
     found = both.groupBy(*keys, "run", "direction").agg(F.max("t_start").alias("t_start"), F.max("t_end").alias("t_end"), reached.alias("reached_at"))
     response = F.col("reached_at") - F.col("t_start")
-    return found.withColumn("total_response", response).withColumn("travel", F.greatest(F.lit(0.0), F.col("reached_at") - F.col("t_end")))
+    return found.withColumn("total_response", response).withColumn("travel", F.when(F.col("reached_at").isNotNull(), F.greatest(F.lit(0.0), F.col("reached_at") - F.col("t_end"))))
 
 
 def hold_start(grid: DataFrame, keys: list[str], slope: Column, calm: float, never: float) -> DataFrame:

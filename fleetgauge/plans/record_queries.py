@@ -96,7 +96,7 @@ def command_segments(spark, sf_dir):
 
 @query("travel_times", f"""WITH {SEGMENT_SQL},
 re AS (SELECT se.test_id, run, direction, any_value(t_start) AS t_start, any_value(t_end) AS t_end, min(a.t) FILTER (WHERE abs(a."view" - target) <= 5) AS reached FROM se JOIN a ON a.test_id = se.test_id AND a.i BETWEEN i_start AND i_last WHERE direction <> 0 GROUP BY se.test_id, run, direction)
-SELECT test_id, run, direction, round(reached - t_start, 3) AS total_response, CASE WHEN reached IS NOT NULL THEN round(greatest(0.0, reached - t_end), 3) ELSE 0.0 END AS travel FROM re""")
+SELECT test_id, run, direction, round(reached - t_start, 3) AS total_response, CASE WHEN reached IS NOT NULL THEN round(greatest(0.0, reached - t_end), 3) END AS travel FROM re""")
 def travel_times(spark, sf_dir):
     """Response and settling time of each motion segment."""
     found = stroke.travel(aligned(spark, sf_dir), command_runs(spark, sf_dir), ["test_id"], "view", 5.0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import verdicts
-from fleetgauge.operators import folds, interp, intervals, runs, stats
+from fleetgauge.operators import interp, intervals, runs, stats
 from fleetgauge.plans.registry import SAMPLES_SQL, query, table
 from fleetgauge.sources.series import samples_of_events
 
@@ -405,22 +405,3 @@ def phase_chain(spark, sf_dir):
     a = a.withColumn("moved", F.min(F.when((F.col("i") >= F.col("permit")) & (F.col("view") > 40), F.col("i"))).over(whole))
     a = a.withColumn("returned", F.min(F.when((F.col("i") >= F.col("moved")) & (F.col("view") < 20), F.col("i"))).over(whole))
     return a.where("permit is not null").groupBy("test_id").agg(*[F.max(c).alias(c) for c in ("permit", "moved", "returned")])
-
-
-def as_stroke(spark, sf_dir) -> DataFrame:
-    return aligned(spark, sf_dir).select("test_id", "i", "t", F.col("click").alias("command"), F.col("view").alias("position"))
-
-
-@query("stick_slip")
-def stick_slip(spark, sf_dir):
-    """Episodes of sticking and jumping on the aligned channels."""
-    return folds.stick_slip(as_stroke(spark, sf_dir), ["test_id"], still=8.0, moved=5.0, jump=10.0, least_s=HOUR, jump_s=2 * DAY)
-
-
-@query("quasi_static_hysteresis")
-def quasi_static_hysteresis(spark, sf_dir):
-    """Largest gap between rising and falling branch."""
-    s = as_stroke(spark, sf_dir)
-    up = F.col("command") >= F.lag("command").over(Window.partitionBy("test_id").orderBy("i"))
-    points = s.withColumn("branch", F.when(up, "opening").otherwise("closing"))
-    return folds.hysteresis(points.select("test_id", "branch", F.col("command").alias("x"), F.col("position").alias("y")), ["test_id"])

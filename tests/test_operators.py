@@ -1,4 +1,4 @@
-"""Operators on small literals, folds against plain loops."""
+"""Operators on small literals."""
 
 import random
 
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import physics, units, verdicts
-from fleetgauge.operators import calibration, folds, interp, intervals, runs, stats, uncertainty
+from fleetgauge.operators import calibration, interp, intervals, runs, stats, uncertainty
 from fleetgauge.sources import series
 
 
@@ -101,52 +101,6 @@ def test_certificate_points(spark):
     assert got[0][1] == pytest.approx(5.6) and got[1][1] is None
 
 
-def slips_by_loop(t, c, p):
-    found, i = [], 0
-    while i < len(t) - 1:
-        j = i + 1
-        while j < len(t) and abs(p[j] - p[i]) < 0.3:
-            j += 1
-        resume = max(j, i + 1)
-        if j < len(t) and t[j - 1] - t[i] >= 0.5 and max(abs(x - c[i]) for x in c[i:j]) >= 1.0:
-            k = j
-            while k < len(t) and t[k] <= t[j - 1] + 0.3:
-                if abs(p[k] - p[i]) >= 1.0:
-                    found.append((t[i], t[j - 1], t[k]))
-                    resume = k
-                    break
-                k += 1
-        i = resume
-    return found
-
-
-def test_stick_slip_equals_the_plain_loop(spark):
-    rng = np.random.default_rng(3)
-    rows, expected = [], []
-    for test in range(6):
-        t = np.arange(200) * 0.1
-        c = np.cumsum(rng.random(200) * 0.4)
-        p = np.round(c / 2.5) * 2.5 + rng.random(200) * 0.05
-        rows += [(test, k, float(t[k]), float(c[k]), float(p[k])) for k in range(200)]
-        expected += [(test, *e) for e in slips_by_loop(t.tolist(), c.tolist(), p.tolist())]
-    df = spark.createDataFrame(rows, "test_id int, i int, t double, command double, position double")
-    got = sorted((r["test_id"], r["start_at"], r["stuck_until"], r["end_at"]) for r in folds.stick_slip(df, ["test_id"]).collect())
-    assert expected and got == sorted(expected)
-
-
-def test_hysteresis_of_shifted_branches(spark):
-    rows = [(1, "opening", float(x), x - 1.5) for x in range(0, 101, 5)] + [(1, "closing", float(x), x + 2.0) for x in range(0, 101, 5)]
-    row = folds.hysteresis(spark.createDataFrame(rows, "test_id int, branch string, x double, y double"), ["test_id"]).first()
-    assert row["hysteresis"] == pytest.approx(3.5)
-
-
-def test_supply_simulation(spark):
-    df = spark.createDataFrame([(1, 1.0, 600.0, 400.0, 2.0, [(0.0, 60.0, 120.0)])], "scheme_id long, tank_nl_per_kpa double, tank_kpa double, set_kpa double, conductance double, demand array<struct<a:double,b:double,q:double>>")
-    row = folds.simulate_supply(df, 0.1, 60.0).first()
-    assert row["drawn_nl"] == pytest.approx(120.0, rel=1e-6) and row["tank_end_kpa"] == pytest.approx(480.0, rel=1e-6)
-    assert row["min_kpa"] == pytest.approx(400.0)
-
-
 def test_trials_are_reproducible(spark):
     df = spark.createDataFrame([(1, "a", k, float(k), 50.0) for k in range(50)], "test_id long, channel string, idx int, t double, v double")
     one = uncertainty.perturb(df, 1.0, 0.5, 0.0, trials=200)
