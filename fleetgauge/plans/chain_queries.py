@@ -114,9 +114,9 @@ def _certificates(spark):
 
 def _channels(spark, sf_dir):
     """Stroke samples: command and position in %, pressure in kPa; every part bound but some channels rejected."""
-    g = stroke_records.grid(spark, sf_dir).where("i % 8 = 0")
+    g = stroke_records.grid(spark, sf_dir)
     each = F.array(*[F.struct(F.lit(n).alias("channel"), F.col(n).alias("v"), F.lit(u).alias("unit")) for n, u in (("command", "%"), ("position", "%"), ("pressure", "kPa"))])
-    samples = g.select("test_id", (F.col("i") / 8).cast("int").alias("idx"), "t", F.explode(each).alias("x")).select("test_id", "x.channel", "idx", "t", "x.v", "x.unit")
+    samples = g.select("test_id", F.col("i").cast("int").alias("idx"), "t", F.explode(each).alias("x")).select("test_id", "x.channel", "idx", "t", "x.v", "x.unit")
     version = F.create_map(F.lit("position"), F.lit(1), F.lit("pressure"), F.lit(2), F.lit("command"), F.lit(3))
     chain = samples.select("test_id", "channel").distinct().withColumn("version_id", F.element_at(version, F.col("channel")).cast("long")).withColumn("accepted", ~((F.col("test_id") % 3 == 0) & (F.col("channel") == "pressure")))
     ranges = samples.select("test_id").distinct().select("test_id", F.lit(0.0).alias("range_low"), F.lit(50.0).alias("range_high"))
@@ -124,7 +124,7 @@ def _channels(spark, sf_dir):
 
 
 CORRECT_SQL = f"""{stroke_records.GRID_SQL},
-u AS (SELECT test_id, i // 8 AS idx, t, 'command' AS channel, command AS v FROM g WHERE i % 8 = 0 UNION ALL SELECT test_id, i // 8, t, 'position', position FROM g WHERE i % 8 = 0 UNION ALL SELECT test_id, i // 8, t, 'pressure', pressure FROM g WHERE i % 8 = 0),
+u AS (SELECT test_id, i AS idx, t, 'command' AS channel, command AS v FROM g UNION ALL SELECT test_id, i, t, 'position', position FROM g UNION ALL SELECT test_id, i, t, 'pressure', pressure FROM g),
 k AS (SELECT *, CASE channel WHEN 'command' THEN -5 + (v + 5) * 110.5::DOUBLE / 110 WHEN 'position' THEN CASE WHEN v / 100 * 50 <= 25 THEN 0.4 + v / 100 * 50 * 24.8::DOUBLE / 25 ELSE 25.2 + (v / 100 * 50 - 25) * 35.3::DOUBLE / 35 END / 50 * 100
   ELSE CASE WHEN test_id % 3 = 0 THEN v WHEN v / 100 <= 5 THEN (0.01 + v / 100 * 5.04::DOUBLE / 5) * 100 ELSE (5.05 + (v / 100 - 5) * 3.95::DOUBLE / 4) * 100 END END AS c FROM u)"""
 
@@ -138,7 +138,7 @@ def calibration_correct(spark, sf_dir):
 
 
 @query("calibration_stats", f"""WITH {CORRECT_SQL}, n AS (SELECT *, c - v AS d, row_number() OVER (PARTITION BY test_id, channel ORDER BY idx) - 1 AS kk FROM k WHERE NOT (channel = 'pressure' AND test_id % 3 = 0))
-SELECT test_id, channel, CASE channel WHEN 'position' THEN 1 WHEN 'pressure' THEN 2 ELSE 3 END AS version_id, round(round(avg(d), 6), 4) + 0.0 AS mean_shift, round(round(max(abs(d)), 6), 4) AS max_shift, round(min(c), 4) + 0.0 AS low, round(max(c), 4) AS high, count(*) FILTER (WHERE kk % 4 = 0) AS n_shifts FROM n GROUP BY ALL""")
+SELECT test_id, channel, CASE channel WHEN 'position' THEN 1 WHEN 'pressure' THEN 2 ELSE 3 END AS version_id, round(round(avg(d), 6), 4) + 0.0 AS mean_shift, round(round(max(abs(d)), 6), 4) AS max_shift, round(min(c), 4) + 0.0 AS low, round(max(c), 4) AS high, count(*) FILTER (WHERE kk % 30 = 0) AS n_shifts FROM n GROUP BY ALL""")
 def calibration_stats(spark, sf_dir):
     """Shifts of every corrected channel."""
     samples, chain, ranges = _channels(spark, sf_dir)
@@ -248,7 +248,7 @@ def uncertainty_ranges(spark, sf_dir):
 
 TRIAL_SQL = """t AS (SELECT l_suppkey AS test_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS trial, l_quantity / 5 AS value FROM lineitem)"""
 EVALUATE_SQL = f"""{TRIAL_SQL}, n(metric, lim) AS (VALUES ('travel_time', 10.0), ('deadband', 2.0), ('hysteresis', 3.0), ('overshoot', 5.0), ('steady_state', 2.0)),
-a AS (SELECT test_id, metric, lim, count(*) AS cn, quantile_cont(value + CASE metric WHEN 'deadband' THEN 5 WHEN 'overshoot' THEN -8 ELSE 0 END, 0.025) AS lo, quantile_cont(value + CASE metric WHEN 'deadband' THEN 5 WHEN 'overshoot' THEN -8 ELSE 0 END, 0.975) AS hi FROM t, n WHERE metric <> 'hysteresis' AND trial <= 100 GROUP BY ALL),
+a AS (SELECT test_id, metric, lim, count(*) AS cn, quantile_cont(value + CASE metric WHEN 'deadband' THEN 5 WHEN 'overshoot' THEN -8 ELSE 0 END, 0.025) AS lo, quantile_cont(value + CASE metric WHEN 'deadband' THEN 5 WHEN 'overshoot' THEN -8 ELSE 0 END, 0.975) AS hi FROM t, n WHERE metric <> 'hysteresis' GROUP BY ALL),
 ev AS (SELECT s.test_id, n.metric, coalesce(cn, 0) AS n, round(lo, 4) AS low, round(hi, 4) AS high, CASE WHEN n.metric = 'hysteresis' THEN 'not_applicable' WHEN coalesce(cn, 0) < 30 THEN 'insufficient' WHEN round(hi, 4) < n.lim THEN 'pass' WHEN round(lo, 4) > n.lim THEN 'fail' ELSE 'indeterminate' END AS status
   FROM (SELECT DISTINCT test_id FROM t) s CROSS JOIN n LEFT JOIN a ON a.test_id = s.test_id AND a.metric = n.metric)"""
 
@@ -257,7 +257,7 @@ def _trials(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("test_id"), F.row_number().over(w).alias("trial"), (F.col("l_quantity") / 5).alias("v")).where("trial <= 100")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("test_id"), F.row_number().over(w).alias("trial"), (F.col("l_quantity") / 5).alias("v"))
     each = F.array(*[F.struct(F.lit(m).alias("metric"), (F.col("v") + s).alias("value")) for m, s in (("travel_time", 0.0), ("deadband", 5.0), ("overshoot", -8.0), ("steady_state", 0.0))])
     trials = rows.select("test_id", "trial", F.explode(each).alias("x")).select("test_id", "trial", "x.*")
     central = trials.groupBy("test_id", "metric").agg(F.avg("value").alias("value"))
@@ -271,7 +271,7 @@ def uncertainty_evaluate(spark, sf_dir):
     return uncertainty.evaluate(trials, central)
 
 
-@query("uncertainty_overall", f"""WITH {EVALUATE_SQL}, vl AS (SELECT test_id, count(*) FILTER (WHERE trial <= 100) AS nv FROM t GROUP BY test_id), sx AS (SELECT test_id, list(DISTINCT status) AS s FROM ev GROUP BY test_id)
+@query("uncertainty_overall", f"""WITH {EVALUATE_SQL}, vl AS (SELECT test_id, count(*) AS nv FROM t GROUP BY test_id), sx AS (SELECT test_id, list(DISTINCT status) AS s FROM ev GROUP BY test_id)
 SELECT test_id, CASE WHEN nv < 96 OR list_contains(s, 'insufficient') THEN 'indeterminate' WHEN list_contains(s, 'fail') THEN 'fail' WHEN list_contains(s, 'indeterminate') THEN 'indeterminate' ELSE 'pass' END AS overall FROM sx JOIN vl USING (test_id)""")
 def uncertainty_overall(spark, sf_dir):
     """Overall conformance of every test."""
@@ -279,18 +279,6 @@ def uncertainty_overall(spark, sf_dir):
     return uncertainty.overall(uncertainty.evaluate(trials, central), valid)
 
 
-@query("uncertainty_trials")
-def uncertainty_trials(spark, sf_dir):
-    """Stroke metrics of perturbed trials: align, segment and measure per trial."""
-    part = table(spark, sf_dir, "part").where("p_size = 7")
-    grid = stroke_records.grid(spark, sf_dir).join(part.select(F.col("p_partkey").alias("test_id")), "test_id", "left_semi")
-    each = F.array(*[F.struct(F.lit(n).alias("channel"), F.col(n).alias("v")) for n in ("command", "position", "pressure")])
-    samples = grid.select("test_id", F.col("i").alias("idx"), "t", F.explode(each).alias("x")).select("test_id", "x.channel", "idx", "t", "x.v")
-    inputs = samples.select("test_id").distinct().select("test_id", F.lit("position").alias("channel"), F.lit("accuracy").alias("kind"), F.lit("channel").alias("source"), F.lit(0.2).alias("scale"), F.lit("rectangular").alias("distribution"), F.lit(False).alias("per_point"), F.lit("used").alias("status"))
-    jitter = inputs.select("test_id", "channel", F.lit(0.01).alias("jitter_s"))
-    return uncertainty.trial_metrics(uncertainty.perturb_by(samples, inputs, jitter, trials=30))
-
-
 ITEM_SQL = """i AS (SELECT o_custkey AS grp, o_orderkey AS id, o_orderdate AS ts, o_orderstatus AS load, o_orderpriority AS medium, o_totalprice AS supply FROM orders),
 r AS (SELECT *, first_value(load) OVER w AS l0, first_value(medium) OVER w AS m0, first_value(supply) OVER w AS s0 FROM i WINDOW w AS (PARTITION BY grp ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 q AS (SELECT *, list_filter([CASE WHEN id % 9 = 0 THEN 'no_conclusion' END, CASE WHEN load <> l0 THEN 'load' END, CASE WHEN abs(supply - s0) > 0.5 * abs(s0) THEN 'supply' END], lambda x: x IS NOT NULL) AS reasons FROM r)"""
