@@ -71,3 +71,26 @@ def forward_fill(rows: DataFrame, keys: list[str], order: list[str], value: str,
     """``value`` with nulls replaced by the last value before, ``initial`` before the first."""
     so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(so_far), initial))
+
+
+def dropouts(samples: DataFrame, keys: list[str], gap_factor: float = 3.0, frozen_min: int = 5, unchecked: tuple[str, ...] = ("command",)) -> DataFrame:
+    """Gaps and frozen stretches of every channel: keys, channel, kind, start_at, end_at.
+
+    A gap is a spacing of more than ``gap_factor`` times the channel's upper
+    median; frozen are ``frozen_min`` or more exactly equal values in a row,
+    except in the ``unchecked`` channels, whose plateaus are meant.
+    """
+    of = [*keys, "channel"]
+    along = Window.partitionBy(*of).orderBy("t", "idx")
+    spaced = samples.withColumn("before", F.lag("t").over(along)).withColumn("dt", F.col("t") - F.col("before"))
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY dt DESC)")
+    wide = spaced.join(spaced.groupBy(*of).agg(F.coalesce(median, F.lit(1.0)).alias("median")), of).where(F.col("dt") > gap_factor * F.col("median"))
+    gaps = wide.select(*of, F.lit("gap").alias("kind"), F.col("before").alias("start_at"), F.col("t").alias("end_at"))
+    still = run_lengths(samples.where(~F.col("channel").isin(*unchecked)), of, ["t", "idx"], "v", "t").where(F.col("n") >= frozen_min)
+    return gaps.unionByName(still.select(*of, F.lit("frozen").alias("kind"), "start_at", "end_at"))
+
+
+def blocked_contacts(samples: DataFrame, keys: list[str], level: Column) -> DataFrame:
+    """(keys, n_illegal) of contacts with any value that is neither level: evidence that can't be judged."""
+    rows = samples.withColumn("__level", level)
+    return rows.groupBy(*keys).agg(F.count_if(F.col("__level").isNull()).alias("n_illegal")).where("n_illegal > 0")

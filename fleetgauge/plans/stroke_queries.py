@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetgauge.operators import fullstroke
+from fleetgauge.functions import units
+from fleetgauge.operators import fullstroke, runs
 from fleetgauge.plans import stroke_records as records
 from fleetgauge.plans.registry import query
-from fleetgauge.plans.stroke_records import KEYS, SEGMENT_SQL
+from fleetgauge.plans.stroke_records import GRID_SQL, KEYS, SEGMENT_SQL
 
 
 def parts(spark, sf_dir):
@@ -220,3 +221,32 @@ def stroke_verdicts(spark, sf_dir):
     overall = F.when(F.col("p_size") % 8 == 2, "indeterminate").when(F.col("p_size") % 8 == 3, "fail").when(F.col("p_size") % 8 == 4, "pass")
     found = part.select(F.col("p_partkey").alias("test_id"), overall.alias("overall"))
     return fullstroke.analyse(records.grid(spark, sf_dir), gaps(spark, sf_dir), KEYS, uncertainty=found)["verdicts"]
+
+
+def samples(spark, sf_dir):
+    """The records as samples, some positions without a stretch and some pressures stuck."""
+    size = F.col("p_size")
+    part = records.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("test_id"), "p_size")
+    grid = records.grid(spark, sf_dir).join(part, "test_id")
+    each = F.array(*[F.struct(F.lit(n).alias("channel"), F.col(n).alias("v")) for n in ("command", "position", "pressure")])
+    rows = grid.select("test_id", "p_size", "i", "t", F.explode(each).alias("x")).select("test_id", "p_size", F.col("i").alias("idx"), "t", "x.channel", "x.v")
+    lost = (F.col("channel") == "position") & (size % 10 == 1) & F.col("idx").between(60, 60 + size)
+    moved = F.when((F.col("channel") == "pressure") & (size % 3 > 0), F.col("v") + F.col("idx") % 4).otherwise(F.col("v"))
+    return rows.where(~lost).select("test_id", "channel", "idx", "t", moved.alias("v"))
+
+
+@query("stroke_dropouts", f"""WITH {GRID_SQL}, u AS (SELECT test_id, z0.p_size AS z, i, t, unnest(['command', 'position', 'pressure']) AS channel, unnest([command, position, pressure]) AS v FROM g JOIN part z0 ON p_partkey = test_id),
+s AS (SELECT test_id, channel, i, t, CASE WHEN channel = 'pressure' AND z % 3 > 0 THEN v + i % 4 ELSE v END AS v FROM u WHERE NOT (channel = 'position' AND z % 10 = 1 AND i BETWEEN 60 AND 60 + z)),
+d AS (SELECT *, lag(t) OVER w AS b, t - lag(t) OVER w AS dt, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY test_id, channel ORDER BY i)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY test_id, channel ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM d)
+SELECT test_id, channel, 'gap' AS kind, b AS start_at, t AS end_at FROM d WHERE dt > 0.75 UNION ALL SELECT test_id, channel, 'frozen', min(t), max(t) FROM r WHERE channel <> 'command' GROUP BY test_id, channel, run HAVING count(*) >= 5""")
+def stroke_dropouts(spark, sf_dir):
+    """Gaps and frozen stretches of the records' channels."""
+    return runs.dropouts(samples(spark, sf_dir), KEYS)
+
+
+@query("stroke_blocked_contacts", """SELECT l_suppkey AS test_id, count(*) FILTER (WHERE l_discount * 10 > 0.3 AND l_discount * 10 < 0.7) AS n_illegal FROM lineitem GROUP BY ALL HAVING n_illegal > 0""")
+def stroke_blocked_contacts(spark, sf_dir):
+    """Contacts with levels that are neither on nor off."""
+    rows = records.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("test_id"), (F.col("l_discount") * 10).alias("v"))
+    return runs.blocked_contacts(rows, KEYS, units.contact_level(F.col("v")))

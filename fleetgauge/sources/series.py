@@ -10,21 +10,31 @@ POINTS = T.ArrayType(T.ArrayType(T.DoubleType()))
 SERIES = T.StructType([T.StructField("unit", T.StringType()), T.StructField("points", POINTS)])
 
 
+RANGE = "struct<min:double,max:double,unit:string>"
+CONDITIONS = "struct<load:string,medium:string,supply_pressure_kpa:double,ambient_temp_c:double,actuator_type:string,note:string>"
+COMPONENT = "struct<value:double,unit:string,distribution:string>"
+CHANNEL_COMPONENTS = f"struct<resolution:{COMPONENT},accuracy:{COMPONENT},zero_drift:{COMPONENT},calibration:{COMPONENT},time_jitter_s:double>"
+UNCERTAINTY = f"struct<channels:map<string,{CHANNEL_COMPONENTS}>,n_samples:int,seed:bigint,interval_prob:double>"
+HEADER = ("valve_tag", "valve_description", "phase", "test_started_at", "submitted_at", "calibration_valid_until")
+
+
 def submission_schema(channels: list[str]) -> T.StructType:
     """Schema of one submitted test record with the given channels."""
     series = T.StructType([T.StructField(c, SERIES) for c in channels])
-    return T.StructType([
-        T.StructField("test_id", T.LongType(), False),
-        T.StructField("valve_tag", T.StringType()),
-        T.StructField("phase", T.StringType()),
-        T.StructField("test_started_at", T.StringType()),
-        T.StructField("series", series),
-    ])
+    head = "test_id long, " + ", ".join(f"{name} string" for name in HEADER)
+    rest = f"range {RANGE}, conditions {CONDITIONS}, thresholds map<string,double>, uncertainty {UNCERTAINTY}, calibration_bindings map<string,bigint>"
+    schema = T.StructType.fromDDL(f"{head}, {rest}")
+    return schema.add("series", series)
 
 
 def read_submissions(spark: SparkSession, path: str, channels: list[str]) -> DataFrame:
-    """Test records from JSON files; a record that breaks the schema fails the read."""
-    return spark.read.schema(submission_schema(channels)).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """Test records from JSON files; a record that breaks the schema fails the read.
+
+    A record without id gets one from its valve, phase, start and file.
+    """
+    rows = spark.read.schema(submission_schema(channels)).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    made = F.xxhash64("valve_tag", "phase", "test_started_at", F.col("_metadata.file_path"))
+    return rows.withColumn("test_id", F.coalesce("test_id", made))
 
 
 def samples_of(tests: DataFrame, channels: list[str]) -> DataFrame:
