@@ -51,48 +51,69 @@ SYMBOLS = frozenset("#*$%&|<>{}\\^~=_")
 LETTER = regex.compile(r"\p{L}")
 LETTER_OR_DIGIT = regex.compile(r"[\p{L}\p{N}]")
 PLAIN = regex.compile(r"\p{L}+[.,;:]?")
-SHAPES = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{Ll}+"), "a"), (regex.compile(r"\p{N}+"), "0"))
+SIGNS = ((regex.compile(r"[A-Z]"), "A"), (regex.compile(r"\p{Lu}"), "À"), (regex.compile(r"\p{Ll}"), "a"), (regex.compile(r"\p{N}"), "0"))
+REPEATED, KEPT = regex.compile(r"([Aa0])\1+"), r"\1"
 
 
 def _slot(token: str) -> int:
     return xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass"), 42) % FEATURES
 
 
+class Signs(dict):
+    """For ``str.translate``: capitals, small letters and numbers become A (beyond ASCII: À), a and 0; filled as code points come."""
+
+    def __missing__(self, point: int) -> int:
+        sign = chr(point)
+        for pattern, out in SIGNS:
+            if pattern.match(sign):
+                sign = out
+                break
+        self[point] = ord(sign)
+        return self[point]
+
+
 class WordTable:
     """Per distinct word: code points, letters, symbols, capitals, stress marks, bare, plain, and two feature slots."""
 
     def __init__(self) -> None:
         self.at: dict[bytes, int] = {}
         self.rows = np.zeros((1024, 9), np.int64)
+        self.signs = Signs()
+        self.forms: dict[str, tuple[int, ...]] = {}
 
     def look_up(self, counts: Counter[bytes]) -> np.ndarray:
         """One row per word of ``counts``, in its order."""
         if len(self.at) > REMEMBERED:
             self.at = {}
+        if len(self.forms) > REMEMBERED:
+            self.forms = {}
         for word in counts:
             if word not in self.at:
                 if len(self.at) == len(self.rows):
                     self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[len(self.at)] = describe(word)
+                self.rows[len(self.at)] = self.describe(word.decode("utf-8", "replace"))
                 self.at[word] = len(self.at)
         return self.rows[np.fromiter(map(self.at.__getitem__, counts), np.int64, len(counts))]
 
+    def describe(self, word: str) -> tuple[int, ...]:
+        form = word.translate(self.signs)
+        found = self.forms.get(form)
+        if found is None:
+            found = self.forms[form] = describe_form(form)
+        return (*found, _slot(word.lower()))
+
 
-def describe(word: bytes) -> tuple[int, ...]:
-    text = word.decode("utf-8", "replace")
-    shape = text
-    for pattern, sign in SHAPES:
-        shape = pattern.sub(sign, shape)
+def describe_form(form: str) -> tuple[int, ...]:
+    """What all words of one form (the word with A, a and 0 for its letters and digits) have in common."""
     return (
-        len(text),
-        len(LETTER.findall(text)),
-        sum(c in SYMBOLS for c in text),
-        sum("A" <= c <= "Z" for c in text),
-        sum(c in "!?" for c in text),
-        LETTER_OR_DIGIT.search(text) is None,
-        PLAIN.fullmatch(text) is not None,
-        _slot(text.lower()),
-        _slot(f"~{shape}"),
+        len(form),
+        len(LETTER.findall(form)),
+        sum(c in SYMBOLS for c in form),
+        form.count("A"),
+        form.count("!") + form.count("?"),
+        LETTER_OR_DIGIT.search(form) is None,
+        PLAIN.fullmatch(form) is not None,
+        _slot("~" + REPEATED.sub(KEPT, form.replace("À", "A"))),
     )
 
 
