@@ -129,12 +129,12 @@ k AS (SELECT *, CASE channel WHEN 'command' THEN -5 + (v + 5) * 110.5::DOUBLE /
   ELSE CASE WHEN test_id % 3 = 0 THEN v WHEN v / 100 <= 5 THEN (0.01 + v / 100 * 5.04::DOUBLE / 5) * 100 ELSE (5.05 + (v / 100 - 5) * 3.95::DOUBLE / 4) * 100 END END AS c FROM u)"""
 
 
-@query("calibration_correct", f"WITH {CORRECT_SQL} SELECT test_id, channel, idx, round(c, 6) AS v, round(c - v, 6) + 0.0 AS shift FROM k")
+@query("calibration_correct", f"WITH {CORRECT_SQL} SELECT channel, idx, count(*) AS n, round(min(c), 6) + 0.0 AS low, round(max(c), 6) AS high, round(avg(c - v), 4) + 0.0 AS mean_shift FROM k GROUP BY ALL")
 def calibration_correct(spark, sf_dir):
-    """Samples corrected through their certificates' units and points; rejected channels as they are."""
+    """Samples corrected through their certificates' units and points, rejected channels as they are; ranges and shifts by channel and index."""
     samples, chain, ranges = _channels(spark, sf_dir)
     found = calibration.correct_samples(samples, chain, _certificates(spark), ranges)
-    return found.select("test_id", "channel", "idx", F.round("v", 6).alias("v"), (F.round("shift", 6) + 0.0).alias("shift"))
+    return found.groupBy("channel", "idx").agg(F.count(F.lit(1)).alias("n"), (F.round(F.min("v"), 6) + 0.0).alias("low"), F.round(F.max("v"), 6).alias("high"), (F.round(F.avg("shift"), 4) + 0.0).alias("mean_shift"))
 
 
 @query("calibration_stats", f"""WITH {CORRECT_SQL}, n AS (SELECT *, c - v AS d, row_number() OVER (PARTITION BY test_id, channel ORDER BY idx) - 1 AS kk FROM k WHERE NOT (channel = 'pressure' AND test_id % 3 = 0))
