@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetgauge.llm import license_scan, mixing, quality_rules, url_rules
+from fleetgauge.llm import divergence, license_scan, mixing, quality_rules, spelling, url_rules
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -206,10 +206,92 @@ FROM d LEFT JOIN base_sums USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT J
 """
 
 
+def divergence_sql() -> str:
+    word = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def p(n: str, of: str) -> str:
+        return f"(1 + (1000000000::HUGEINT * ({n} + 1)) // ({of}))"
+
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{word}') AS w
+  FROM documents),
+toks AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM toks GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+cells AS (SELECT lang, source, term, count(*) AS n FROM toks SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (
+  SELECT lang, coalesce(v, 0) AS v, coalesce(total, 0) + coalesce(v, 0) AS size
+  FROM (SELECT DISTINCT lang FROM d) LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang) USING (lang)),
+groups AS (
+  SELECT lang, source, v, coalesce(total, 0) + v AS size
+  FROM (SELECT DISTINCT lang, source FROM d) JOIN langs USING (lang)
+    LEFT JOIN (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL) USING (lang, source)),
+probs AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {p("coalesce(c.n, 0)", "g.size")} AS p
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, (a.p - b.p) * (a.p - b.p) // b.p AS f
+  FROM probs a JOIN probs b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source),
+pair_sums AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT lang, source, item, sum(f) AS f FROM pairs GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+  FROM (SELECT x.*, {p("k.n", "l.size")} AS q FROM probs x JOIN kept k USING (lang, term) JOIN langs l USING (lang)) WHERE n > 0 AND p > q),
+found AS (SELECT lang, source, 'pair' AS part, item, value FROM pair_sums UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
+def spelling_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
+    key = "coalesce(doc_id::VARCHAR, '') || ':' || w"
+    byte = "('0x' || substr(hex(encode(k)), 2 * i - 1, 2))::BIGINT"
+    return rf"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS done, i::BIGINT AS c FROM range(256) t(i)
+  UNION ALL SELECT i, done + 1, {step} FROM steps WHERE done < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE done = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]{{{spelling.MIN_LENGTH},}}')), '{upper}', '{lower}') AS w
+  FROM documents),
+counted AS (SELECT {key} AS k, w, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT w, n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(k)) + 1), lambda i: {byte})),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h
+  FROM counted, crc),
+damaged AS (
+  SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM hashed),
+vocab AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN vocab b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN vocab b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -n, w := other)) AS b FROM near GROUP BY word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.m >= {spelling.TIMES} * v.n THEN b.w END AS form,
+    CASE WHEN -b.m >= {spelling.TIMES} * v.n THEN -b.m END AS form_n
+  FROM vocab v LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS last, 0 AS hops FROM forms
+  UNION ALL SELECT w.word, f.form, hops + 1 FROM walk w JOIN forms f ON f.word = w.last WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(last, hops) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM forms JOIN roots USING (word)
+"""
+
+
 ORACLE_SQL = {
     "op1_license_scan": license_sql(),
     "op3_mix_sources": mix_sql(),
     "op4_url_rules": url_rules_sql(),
     "op7_exact_dedup": exact_dedup_sql(),
     "op8_quality_rules": quality_rules_sql(),
+    "op11_spelling_variants": spelling_sql(),
+    "op12_source_divergence": divergence_sql(),
 }

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_rules
+from fleetgauge.llm import (
+    divergence,
+    exact_dedup,
+    language_id,
+    license_scan,
+    mixing,
+    neighbours,
+    packing,
+    quality_model,
+    quality_rules,
+    simhash,
+    spelling,
+    toxicity,
+    url_rules,
+)
 from fleetgauge.llm.oracles import ORACLE_SQL
 
 
@@ -55,6 +69,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_classifier": op2_quality_classifier,
@@ -66,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
