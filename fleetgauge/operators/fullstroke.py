@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.operators import interp, intervals, runs
+from fleetgauge.operators import anchors, interp, intervals, runs
 
 MOTION = ("opening", "closing")
 #: Default limits.
@@ -219,38 +218,31 @@ def stick_slip(rows: DataFrame, keys: list[str], still: float = 0.3, excursion:
     ``least_s`` while the command changes by ``excursion`` from end to end, and
     within ``jump_s`` the position gets ``jump`` away from where it stuck, it is
     an episode.  The next anchor is the end of the jump's window, else the last
-    still point.  Each anchor depends on the one before, so this is a grouped
-    map; a task holds one segment, and steps through it once.
+    still point.  A window puts on each point how far the position gets within
+    ``jump_s``; a fold over each segment follows the anchors.
     """
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    names = ["t_start", "t_end", "stuck_s", "command_change", "jump"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        t, c, p = (pdf[x].tolist() for x in ("t", "command", "position"))
-        last, at, found = len(t) - 1, 0, []
-        while at < last:
-            stuck = at
-            while stuck < last and abs(p[stuck + 1] - p[at]) < still:
-                stuck += 1
-            resume = max(stuck, at + 1)
-            change = abs(c[stuck] - c[at])
-            if t[stuck] - t[at] >= least_s and change >= excursion:
-                end, far = stuck, 0.0
-                while end < last and t[end + 1] - t[stuck] <= jump_s:
-                    end += 1
-                    far = max(far, abs(p[end] - p[stuck]))
-                if far >= jump:
-                    found.append((t[at], t[end], t[stuck] - t[at], change, far))
-                    resume = end
-            at = resume
-        out = pd.DataFrame(found, columns=names, dtype=float).round(3)
-        for k, name in enumerate([*keys, "seg"]):
-            out.insert(k, name, pdf[name].iloc[0])
-        return out
-
-    moving = rows.where(F.col("type").isin(*MOTION)).select(*keys, "seg", "i", "t", "command", "position")
-    return moving.groupBy(*keys, "seg").applyInPandas(run, f"{kinds}, seg int, {', '.join(f'{n} double' for n in names)}")
+    c = F.col
+    moving = rows.where(c("type").isin(*MOTION)).select(*keys, "seg", "i", "t", "command", "position")
+    moving = moving.withColumn("__us", F.round(c("t") * 1e6).cast("long"))
+    along = Window.partitionBy(*keys, "seg").orderBy("__us")
+
+    def until(us: int) -> Column:
+        frame = along.rangeBetween(0, us)
+        far = F.greatest(F.max("position").over(frame) - c("position"), c("position") - F.min("position").over(frame))
+        return F.struct(F.max(F.struct("i", "t")).over(frame).alias("end"), far.alias("far"))
+
+    # Whole microseconds can't tell whether a point at the window's very end belongs to it, the times themselves can.
+    us = round(jump_s * 1e6)
+    soon = moving.withColumn("__a", until(us + 1)).withColumn("__b", until(max(us - 1, 0)))
+    soon = soon.withColumn("__x", F.when(c("__a.end.t") - c("t") <= jump_s, c("__a")).otherwise(c("__b")))
+    soon = soon.select(*keys, "seg", "i", "t", "command", "position", "__x.end", "__x.far")
+
+    def hit(a: Column, s: Column) -> Column:
+        return (s["t"] - a["t"] >= least_s) & (F.abs(s["command"] - a["command"]) >= excursion) & (s["far"] >= jump)
+
+    found = anchors.held(soon, [*keys, "seg"], "position", still, hit, ["command", "far", "end"], lambda s: s["end"]["i"])
+    figures = {"t_start": c("anchor.t"), "t_end": c("last.end.t"), "stuck_s": c("last.t") - c("anchor.t"), "command_change": F.abs(c("last.command") - c("anchor.command")), "jump": c("last.far")}
+    return found.select(*keys, c("seg").cast("int").alias("seg"), *(F.round(x, 3).alias(n) for n, x in figures.items()))
 
 
 def low_supply(rows: DataFrame, keys: list[str], least_kpa: float = LIMITS["supply_min_kpa"]) -> DataFrame:

@@ -170,12 +170,6 @@ def test_plateaus_merge_to_a_fixpoint():
     assert flowcurve.joined([(0, 9), (20, 39)], t, v, 1.5, 2.0) == [(0, 9), (20, 39)]
 
 
-def test_short_runs_go_to_a_fixpoint():
-    runs = [(0, 0.0, 3.0, 0, 30), (1, 3.1, 3.3, 31, 33), (0, 3.4, 3.9, 34, 39), (1, 4.0, 9.0, 40, 90), (0, 9.1, 9.5, 91, 95), (1, 9.6, 12.0, 96, 120)]
-    got = [(d, i, j) for d, _, _, i, j in thrust.settled_runs(runs)]
-    assert got == [(0, 0, 39), (1, 40, 120)]
-
-
 def test_exclusions_follow_each_other(spark):
     samples = spark.createDataFrame([(1, k, float(k)) for k in range(10)], "test_id long, idx long, v double")
     ranges = spark.createDataFrame([(1, 1, 0, 1, "start"), (1, 2, 0, 1, "more"), (1, 3, 5, 99, "end")], "test_id long, seq int, low long, high long, reason string")
