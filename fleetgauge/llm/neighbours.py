@@ -8,10 +8,11 @@
 3. For ``PROBED`` sample queries the exact neighbours are found over all rows;
    the number of lists that a search probes is the least that holds a
    ``RECALL`` share of them.
-4. Queries visit their nearest list first, whose 20th distance bounds the
-   search in all others.  A list is scanned by column blocks: after each one a
-   candidate is abandoned if its partial distance, scaled to all dimensions,
-   is beyond the bound by more than a hypothesis test allows.
+4. Queries visit their nearest list first, then in rounds four times as many
+   each; the 20th best so far bounds the search of a round.  A list is scanned
+   by column blocks: after each one a candidate is abandoned if its partial
+   distance, scaled to all dimensions, is beyond the bound by more than a
+   hypothesis test allows.
 5. What remains is scored on the original vectors in double precision.
 
 Lists are cut into blocks of at most ``BLOCK`` vectors and ``QUERIES`` queries,
@@ -274,9 +275,16 @@ def search(rows: DataFrame, every: int = EVERY, top: int = TOP, recall: float =
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "x", "list", "visit"])
 
     probes = materialise(queries.select("vec_id", "x").mapInArrow(visit, "query_id long, x array<double>, list long, visit long"), "probes")
-    unbounded = F.lit(-math.inf).alias("bound")
-    home = materialise(best_of(scan_lists(listed, probes.where("visit = 0").select("query_id", "x", "list", unbounded), index, dims, top), top), "home-lists")
-    bounds = home.where(F.col("rank") == top).select("query_id", F.col("score").alias("bound"))
-    rest = probes.where("visit > 0").join(bounds, "query_id", "left").select("query_id", "x", "list", F.coalesce("bound", F.lit(-math.inf)).alias("bound"))
-    found = home.drop("rank").unionByName(scan_lists(listed, rest, index, dims, top))
-    return best_of(found, top).select("query_id", "rank", "vec_id", "score")
+    # Each round visits four times as many lists as the one before, within the bounds found so far.
+    best, start, many = None, 0, 1
+    while start < probed:
+        due = probes.where((F.col("visit") >= start) & (F.col("visit") < start + many)).select("query_id", "x", "list")
+        if best is None:
+            due = due.withColumn("bound", F.lit(-math.inf))
+        else:
+            known = best.where(F.col("rank") == top).select("query_id", F.col("score").alias("bound"))
+            due = due.join(known, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-math.inf)))
+        found = scan_lists(listed, due, index, dims, top)
+        best = materialise(best_of(found if best is None else best.drop("rank").unionByName(found), top), "best")
+        start, many = start + many, many * 4
+    return best.select("query_id", "rank", "vec_id", "score")
