@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.operators import intervals
+
 
 def apply_ranges(samples: DataFrame, exclusions: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(kept samples, removed samples with reason).
@@ -32,7 +34,4 @@ def apply_ranges(samples: DataFrame, exclusions: DataFrame, keys: list[str]) ->
 
 def outside_windows(intervals_: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """Intervals (start_at, end_at) that touch none of the windows (low, high) of their key."""
-    w = windows.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("low").alias("__low"), F.col("high").alias("__high"))
-    same = [intervals_[k] == w[f"__{k}"] for k in keys]
-    touches = (intervals_["start_at"] <= w["__high"]) & (intervals_["end_at"] >= w["__low"])
-    return intervals_.join(w, [*same, touches], "left_anti")
+    return intervals.untouched(intervals_, windows, keys, F.col("start_at"), F.col("end_at"))

@@ -2,12 +2,13 @@
 
 A slice has about the mean length of the intervals, and each interval is listed
 once in every slice that it touches.  So long records with many intervals don't
-pair everything with everything.
+pair everything with everything.  Anti-joins need no pairs at all: one sort tells
+how far the intervals reach.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,16 +57,27 @@ def overlap_share(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return found.withColumn("share", F.when(length > 0, F.col("covered") / length))
 
 
+def untouched(rows: DataFrame, ranges: DataFrame, keys: list[str], start: Column, end: Column) -> DataFrame:
+    """``rows`` whose ``[start, end]`` has no point in common with any of the inclusive ranges (low, high) of their key.
+
+    One sort per key: of the ranges that begin up to a row's end, the farthest
+    end so far says whether one reaches its start; no pairs are made.
+    """
+    asked = rows.select(*keys, F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), end.alias("__at"), start.alias("__from"), F.lit(1).alias("__kind"), F.lit(None).alias("__reach"))
+    kind = rows.schema
+    known = ranges.select(*keys, F.lit(None).cast(kind).alias("__row"), F.col("low").alias("__at"), F.lit(None).alias("__from"), F.lit(0).alias("__kind"), F.col("high").alias("__reach"))
+    so_far = Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(known.where("__at is not null")).withColumn("__reach", F.max("__reach").over(so_far))
+    free = F.coalesce(F.col("__reach") < F.col("__from"), F.lit(True))
+    return both.where((F.col("__kind") == 1) & free).select("__row.*")
+
+
 def outside(rows: DataFrame, ranges: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``rows`` whose ``value`` lies in none of the inclusive ranges (low, high) of their key."""
-    r = ranges.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("low").alias("__low"), F.col("high").alias("__high"))
-    same = [rows[k] == r[f"__{k}"] for k in keys]
-    return rows.join(r, [*same, rows[value].between(r["__low"], r["__high"])], "left_anti")
+    return untouched(rows, ranges, keys, F.col(value), F.col(value))
 
 
 def without_match(points: DataFrame, others: DataFrame, keys: list[str], at: str, before: Column, after: Column) -> DataFrame:
     """``points`` without any of ``others`` (keys, other_at) in ``[at - before, at + after]``."""
-    o = others.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("other_at"))
-    same = [points[k] == o[f"__{k}"] for k in keys]
-    near = o["other_at"].between(points[at] - before, points[at] + after)
-    return points.join(o, [*same, near], "left_anti")
+    ranges = others.select(*keys, F.col("other_at").alias("low"), F.col("other_at").alias("high"))
+    return untouched(points, ranges, keys, F.col(at) - before, F.col(at) + after)
