@@ -31,29 +31,42 @@ def corrected(value: Column, points: Column) -> Column:
     return a["ref"] + (value - a["ind"]) * (b["ref"] - a["ref"]) / (b["ind"] - a["ind"])
 
 
-def apply_chain(channels: DataFrame, bindings: DataFrame, certificates: DataFrame) -> DataFrame:
+def apply_chain(channels: DataFrame, bindings: DataFrame, certificates: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """One row per test channel with the certificate that applies or the first gate that fails.
 
-    ``channels``: test_id, channel, measurement_type, unit_family, starts,
-    ends, low, high (readings).  ``bindings``: test_id, channel, version_id.
-    ``certificates``: version_id, cert_type, cert_family, valid_from,
-    valid_until, range_min, range_max, points.
+    ``channels``: test_id, channel, measurement_type, starts, ends, low, high
+    (readings) and unit.  ``bindings``: test_id, channel, version_id.
+    ``certificates``: version_id, cert_type, cert_unit, valid_from,
+    valid_until, range_min, range_max, points.  Readings are put into the
+    certificate's unit before they are held against its range and points;
+    ``ranges`` (test_id, range_low, range_high) serve travel units.  Readings
+    that are in the certificate's unit already come with unit_family and
+    cert_family instead of the units, and without ``ranges``.
     """
+    c = F.col
     rows = channels.join(bindings, ["test_id", "channel"], "left").join(certificates.withColumn("__known", F.lit(True)), "version_id", "left")
-    state = validity(F.col("starts"), F.col("ends"), F.col("valid_from"), F.col("valid_until"))
+    state = validity(c("starts"), c("ends"), c("valid_from"), c("valid_until"))
     slack = 1e-9
-    covered = (F.col("low") >= F.col("range_min") - slack) & (F.col("high") <= F.col("range_max") + slack)
-    inside = (F.col("low") >= F.get("points", F.lit(0))["ind"]) & (F.col("high") <= F.element_at("points", -1)["ind"])
+    if ranges is None:
+        a, b, strange = c("low"), c("high"), c("cert_family") != c("unit_family")
+    else:
+        rows = rows.join(ranges, "test_id", "left")
+        a, b = (units.convert(c(x), c("unit"), c("cert_unit"), c("measurement_type"), c("range_low"), c("range_high")) for x in ("low", "high"))
+        strange = a.isNull() | b.isNull()
+    # A travel range that falls turns the readings' ends round.
+    rows = rows.withColumn("__low", F.least(a, b)).withColumn("__high", F.greatest(a, b)).withColumn("__strange", strange)
+    covered = (c("__low") >= c("range_min") - slack) & (c("__high") <= c("range_max") + slack)
+    inside = (c("__low") >= F.get("points", F.lit(0))["ind"]) & (c("__high") <= F.element_at("points", -1)["ind"])
     failed = {
         "not_bound": F.col("version_id").isNull(),
         "version_missing": F.col("__known").isNull(),
         "type_mismatch": F.col("cert_type") != F.col("measurement_type"),
-        "unit_incompatible": F.col("cert_family") != F.col("unit_family"),
+        "unit_incompatible": F.col("__strange"),
         "points_nonmonotonic": ~increasing(F.col("points")),
         "not_yet_valid": state == "not_yet_valid",
         "expired": state == "expired",
         "spans_boundary": state == "spans_boundary",
-        "range_uncovered": ~covered,
+        "range_uncovered": F.coalesce(~covered, F.lit(False)),
         "points_outside": ~inside,
     }
     gate = F.coalesce(*[F.when(failed[g], g) for g in GATES])
@@ -115,19 +128,36 @@ def correct_samples(samples: DataFrame, chain: DataFrame, certificates: DataFram
     """``samples`` (test_id, channel, idx, t, v, unit) of accepted channels corrected, others as they are, with ``shift``.
 
     A reading goes into the certificate's unit, through its points and back;
-    ``ranges`` (test_id, range_low, range_high) serve travel units.
+    ``ranges`` (test_id, range_low, range_high) serve travel units.  A reading
+    of an accepted channel that can't be corrected is an error.
     """
     c = F.col
     used = chain.where("accepted").select("test_id", "channel", "version_id")
     certs = certificates.select("version_id", "points", c("unit").alias("cert_unit"), "measurement_type")
-    rows = samples.join(used, ["test_id", "channel"], "left").join(F.broadcast(certs), "version_id", "left").join(ranges, "test_id", "left")
+    rows = samples.join(used, ["test_id", "channel"], "left").join(certs, "version_id", "left").join(ranges, "test_id", "left")
     there = units.convert(c("v"), c("unit"), c("cert_unit"), c("measurement_type"), c("range_low"), c("range_high"))
     rows = rows.withColumn("__r", corrected(there, c("points")))
     back = units.convert(c("__r"), c("cert_unit"), c("unit"), c("measurement_type"), c("range_low"), c("range_high"))
-    rows = rows.withColumn("raw", c("v")).withColumn("v", F.coalesce(back, c("v"))).withColumn("shift", c("v") - c("raw"))
+    lost = F.raise_error(F.format_string("test %s, channel %s: an accepted certificate leaves a reading uncorrected", c("test_id").cast("string"), c("channel"))).cast("double")
+    fixed = F.when(c("version_id").isNull() | c("v").isNull(), c("v")).when(back.isNull(), lost).otherwise(back)
+    rows = rows.withColumn("raw", c("v")).withColumn("v", fixed).withColumn("shift", c("v") - c("raw"))
     return rows.select("test_id", "channel", "idx", "t", "v", "unit", "raw", "shift", "version_id")
 
 
+def calibrate(samples: DataFrame, tests: DataFrame, bindings: DataFrame, certificates: DataFrame, ranges: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The whole chain: (samples as of :func:`correct_samples`, gates as of :func:`apply_chain`).
+
+    ``tests``: test_id, started_at, submitted_at; ``kinds`` names the
+    measurement type of each channel that is subject to calibration.
+    """
+    span = test_interval(samples, tests).select("test_id", "starts", "ends")
+    channels = present_channels(samples, kinds).join(span, "test_id")
+    known = certificates.withColumnRenamed("measurement_type", "cert_type").withColumnRenamed("unit", "cert_unit")
+    wanted = known.select("version_id", "cert_type", "cert_unit", "valid_from", "valid_until", "range_min", "range_max", "points")
+    chain = apply_chain(channels, bindings, wanted, ranges)
+    return correct_samples(samples, chain, certificates, ranges), chain
+
+
 def correction_stats(corrected_rows: DataFrame, kept: int = 8) -> DataFrame:
     """Per corrected channel the mean and largest shift, the corrected range, and up to ``kept`` evenly spaced shifts."""
     c = F.col
@@ -148,7 +178,7 @@ def _of_channel():
 def chain_components(chain: DataFrame, certificates: DataFrame, channels: DataFrame, ranges: DataFrame) -> DataFrame:
     """(test_id, channel, value, unit): the certificates' standard uncertainties in the channels' units."""
     c = F.col
-    rows = chain.where("accepted").select("test_id", "channel", "version_id").join(F.broadcast(certificates.select("version_id", c("unit").alias("cert_unit"), "measurement_type", "standard_uncertainty")), "version_id")
+    rows = chain.where("accepted").select("test_id", "channel", "version_id").join(certificates.select("version_id", c("unit").alias("cert_unit"), "measurement_type", "standard_uncertainty"), "version_id")
     rows = rows.join(channels.select("test_id", "channel", "unit"), ["test_id", "channel"]).join(ranges, "test_id", "left")
     value = units.convert_spread(c("standard_uncertainty"), c("cert_unit"), c("unit"), c("measurement_type"), c("range_low"), c("range_high"))
     return rows.select("test_id", "channel", value.alias("value"), "unit").where("value is not null")

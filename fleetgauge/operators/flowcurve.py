@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions import physics
 from fleetgauge.operators import runs, stats
+from fleetgauge.sources.held import hold
 
 #: Default limits.
 LIMITS = {
@@ -207,9 +208,9 @@ def suspects(limits: dict[str, float] = LIMITS) -> Column:
 
 def analyse(grid: DataFrame, valves: DataFrame, keys: list[str], velocity: Column, disabled: DataFrame | None = None, blocks: DataFrame | None = None, limits: dict[str, float] = LIMITS) -> dict[str, DataFrame]:
     """Plateaus, points, curves and verdicts of all tests; ``blocks`` (keys, code) are gaps found before."""
-    found = plateaus(grid, keys, velocity, limits)
-    points = convert(statistics(grid, found, keys), valves, keys, disabled, limits)
-    curves = fit(points, keys, limits)
+    found = hold(plateaus(grid, keys, velocity, limits), "plateaus")
+    points = hold(convert(statistics(grid, found, keys), valves, keys, disabled, limits), "points")
+    curves = hold(fit(points, keys, limits), "curves")
     missing = points.groupBy(*keys).agg(F.count_if(F.array_contains("codes", "property_missing")).alias("n_missing"))
     both = valves.select(*keys).join(missing, keys, "left").join(curves.select(*keys, "suspects", "checks_pass"), keys, "left")
     code = F.when(F.col("n_missing").isNull(), "no_plateau").when(F.col("checks_pass").isNull(), "insufficient_adopted_points").when(F.col("n_missing") > 0, "property_missing")

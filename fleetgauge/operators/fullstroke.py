@@ -7,12 +7,11 @@ as a Monte-Carlo trial.  A record's rows meet in one task for its windows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import anchors, interp, intervals, runs
+from fleetgauge.sources.held import hold
 
 MOTION = ("opening", "closing")
 #: Default limits.
@@ -315,19 +314,18 @@ def uncertainty_input(override: Column, previous: Column, submitted: Column, non
 
 def analyse(
     grid: DataFrame, gaps: DataFrame, keys: list[str], blocks: DataFrame | None = None, moves: DataFrame | None = None,
-    uncertainty: DataFrame | None = None, limits: dict[str, float] = LIMITS, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist,
+    uncertainty: DataFrame | None = None, limits: dict[str, float] = LIMITS,
 ) -> dict[str, DataFrame]:
     """The whole analysis as tables: segments, metrics, stick_slip, low_supply, incomplete, issues, verdicts.
 
     ``gaps`` (keys, channel, kind, start_at, end_at) are the record's dropouts,
     ``blocks`` (keys, code) what calibration and units already object to, and
-    ``uncertainty`` (keys, overall) an evaluated conformance.  ``keep`` holds the
-    two tables that all results read: persisted here, or written as Parquet by a
-    function of the caller.
+    ``uncertainty`` (keys, overall) an evaluated conformance.  The tables that
+    several results read are held, so each is planned and made once.
     """
     band = limits["settle_band"]
-    segs = keep(segment(grid, keys, moves))
-    rows = keep(in_segments(grid, segs, keys))
+    segs = hold(segment(grid, keys, moves), "segments")
+    rows = hold(in_segments(grid, segs, keys), "rows")
     turns = deadband(rows, segs, keys)
     sticks, low, short = stick_slip(rows, keys), low_supply(rows, keys, limits["supply_min_kpa"]), incomplete_travel(rows, keys, band)
     null = F.lit(None).cast("double")
@@ -339,8 +337,8 @@ def analyse(
     events = events.unionByName(event(reverse_hysteresis(turns, limits["deadband"]), "reverse_hysteresis", F.col("deadband"), F.lit(limits["deadband"])))
     events = events.unionByName(event(low, "low_supply", F.col("min_kpa"), F.lit(limits["supply_min_kpa"])))
     events = events.unionByName(event(short, "incomplete_travel", null, null)).unionByName(event(gaps, "dropout", null, null))
-    found = metrics(rows, rows, segs, keys, band)
-    listed = issues(found, events, keys, limits)
+    found = hold(metrics(rows, rows, segs, keys, band), "metrics")
+    listed = hold(issues(found, events, keys, limits), "issues")
 
     missing = missing_types(segs, keys).select(*keys, F.explode("missing").alias("x")).select(*keys, F.concat(F.lit("missing_"), "x").alias("code"))
     blocking = missing.unionByName(gap_blocks(segs, gaps, keys, GAP_SHARE).select(*keys, F.concat(F.lit("gaps_in_segment_"), "seg").alias("code")))

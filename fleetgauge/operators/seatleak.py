@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions import physics
 from fleetgauge.operators import curves, runs, stats
+from fleetgauge.sources.held import hold
 
 #: Default limits.
 LIMITS = {
@@ -62,19 +63,20 @@ def delineate(grid: DataFrame, derived: DataFrame, keys: list[str], limits: dict
     back = Window.partitionBy(*keys).orderBy(c("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("worst", F.max("steep").over(back))
 
+    rows = rows.withColumn("__p", F.struct("i", "t", F.lag("t").over(Window.partitionBy(*keys).orderBy("i")).alias("before")))
+
     def nearest(name: str) -> Column:
-        return F.when(F.first(name).isNotNull(), F.min(F.struct(F.abs(c("t") - c(name)), "i"))["i"])
+        return F.when(F.first(name).isNotNull(), F.min(F.struct(F.abs(c("t") - c(name)), "__p"))["__p"])
 
     whole = Window.partitionBy(*keys)
-    rows = rows.withColumn("i_iso", F.coalesce(F.min(F.when(c("t") >= c("t_downstream_isolated"), c("i"))).over(whole), F.max("i").over(whole)))
-    calm = (c("i") >= F.greatest("i_iso", F.lit(1))) & (c("steep") <= limits["slope_c_min"]) & (c("worst") <= 2 * limits["slope_c_min"])
+    rows = rows.withColumn("iso", F.coalesce(F.min(F.when(c("t") >= c("t_downstream_isolated"), c("__p"))).over(whole), F.max("__p").over(whole)))
+    calm = (c("i") >= F.greatest("iso.i", F.lit(1))) & (c("steep") <= limits["slope_c_min"]) & (c("worst") <= 2 * limits["slope_c_min"])
     found = rows.groupBy(*keys).agg(
-        F.first("i_iso").alias("i_iso"), nearest("t_hold_start").alias("declared"), F.min(F.when(calm, c("i"))).alias("calm"), F.coalesce(nearest("t_hold_end"), F.max("i")).alias("i_end"),
-        F.map_from_entries(F.collect_list(F.struct("i", "t"))).alias("ts"),
-    )
-    found = found.withColumn("i_hold", F.coalesce("declared", "calm")).withColumn("start", F.when(c("declared").isNotNull(), "declared").when(c("calm").isNotNull(), "calm"))
-    at = lambda i: F.when(i.isNotNull(), F.element_at("ts", F.coalesce(i, F.lit(0).cast("long"))))
-    found = found.withColumn("t_iso", at(c("i_iso"))).withColumn("t_hold", at(c("i_hold"))).withColumn("t_end", at(c("i_end"))).withColumn("t_stable", at(c("i_hold") - 1))
+        F.first("iso").alias("iso"), nearest("t_hold_start").alias("declared"), F.min(F.when(calm, c("__p"))).alias("calm"), F.coalesce(nearest("t_hold_end"), F.max("__p")).alias("end")
+    )
+    found = found.withColumn("hold", F.coalesce("declared", "calm")).withColumn("start", F.when(c("declared").isNotNull(), "declared").when(c("calm").isNotNull(), "calm"))
+    points = {"i_iso": "iso.i", "t_iso": "iso.t", "i_hold": "hold.i", "t_hold": "hold.t", "t_stable": "hold.before", "i_end": "end.i", "t_end": "end.t"}
+    found = found.select(*keys, "start", *(c(x).alias(n) for n, x in points.items()))
     gaps = F.array_compact(F.array(
         F.when(c("i_hold").isNull(), "stabilization_not_reached"),
         F.when(c("t_stable") - c("t_iso") < limits["stabilise_s"], "stabilization_too_short"),
@@ -191,8 +193,9 @@ def analyse(
     segs = delineate(grid, derived, keys, limits)
     if moves is not None:
         segs = move_boundaries(segs, grid, moves, keys)
-    rows = hold_rows(grid, segs, tests, keys, limits)
-    found, evidence = balance(rows, keys), gates(rows, keys, coverage, limits)
+    segs = hold(segs, "segments")
+    rows = hold(hold_rows(grid, segs, tests, keys, limits), "rows")
+    found, evidence = hold(balance(rows, keys), "balance"), gates(rows, keys, coverage, limits)
     both = tests.select(*keys).join(derived.select(*keys, "conflicts"), keys, "left").join(segs.select(*keys, c("gaps").alias("g1")), keys, "left")
     both = both.join(evidence.select(*keys, c("gaps").alias("g2")), keys, "left").join(found, keys, "left")
     empty = F.array().cast("array<string>")

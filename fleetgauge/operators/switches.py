@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import interp, intervals, runs
+from fleetgauge.sources.held import hold
 
 #: Default limits.
 LIMITS = {"delay_s": 1.0, "dispersion": 1.0, "end_dwell_s": 1.0, "speed": 0.5}
@@ -299,10 +300,10 @@ def analyse(
     c = F.col
     timed = bits.join(specs.select(*KEYS, "debounce_s"), KEYS)
     none = bits.sparkSession.createDataFrame([], "test_id long, contact string, t_start double, t_end double")
-    kept = ignore(adopted(timed, KEYS, c("debounce_s")), none if ignored is None else ignored)
-    crossed = crossings(position, specs)
-    placed = edges(kept, position, crossed, specs, limits["speed"])
-    listed = events(bits, position, specs, kept, placed, crossed, limits)
+    kept = hold(ignore(adopted(timed, KEYS, c("debounce_s")), none if ignored is None else ignored), "intervals")
+    crossed = hold(crossings(position, specs), "crossings")
+    placed = hold(edges(kept, position, crossed, specs, limits["speed"]), "edges")
+    listed = hold(events(bits, position, specs, kept, placed, crossed, limits), "events")
     figures = metrics(placed, KEYS)
     checked = checks(figures, limits)
     missing = gaps(bits, specs, placed, blocks)

@@ -123,12 +123,51 @@ def _channels(spark, sf_dir):
     return samples, chain, ranges
 
 
+def _gated(spark, sf_dir):
+    """The chain of all stroke records: certificates in other units, some of which don't cover the readings."""
+    samples, _, ranges = _channels(spark, sf_dir)
+    day = lambda s: F.lit(s).cast("timestamp")
+    certs = _certificates(spark).withColumn("valid_from", day("2024-01-01")).withColumn("valid_until", day("2025-01-01"))
+    certs = certs.withColumn("range_min", F.when(F.col("unit") == "%", F.lit(-5.0)).otherwise(0.0)).withColumn("range_max", F.when(F.col("unit") == "bar", 9.0).otherwise(105.0))
+    narrow = certs.where("version_id = 1").withColumn("version_id", F.lit(4).cast("long")).withColumn("range_max", F.lit(45.3))
+    kinds = {"command": "command", "position": "position", "pressure": "pressure"}
+    version = F.when(F.col("channel") == "command", 3).when(F.col("channel") == "pressure", 2).when(F.col("test_id") % 5 == 0, 4).when(F.col("test_id") % 7 != 3, 1)
+    bindings = samples.select("test_id", "channel").distinct().withColumn("version_id", version.cast("long")).where("version_id is not null")
+    tests = samples.select("test_id").distinct().select("test_id", F.when(F.col("test_id") % 11 == 0, day("2024-12-31 23:59:30")).otherwise(day("2024-06-01")).alias("started_at"), F.lit(None).cast("timestamp").alias("submitted_at"))
+    return calibration.calibrate(samples, tests, bindings, certs.unionByName(narrow), ranges, kinds)
+
+
+GATED_SQL = f"""{stroke_records.GRID_SQL},
+e AS (
+  SELECT test_id, 'command' AS channel, 3 AS version_id, min(command) AS lo, max(command) AS hi, -5.0 AS a, 105.0 AS b, -5.0 AS x0, 105.0 AS x1 FROM g GROUP BY test_id
+  UNION ALL SELECT test_id, 'position', CASE WHEN test_id % 5 = 0 THEN 4 WHEN test_id % 7 <> 3 THEN 1 END, min(position) / 2, max(position) / 2, 0.0, CASE WHEN test_id % 5 = 0 THEN 45.3 ELSE 105.0 END, 0.0, 60.0 FROM g GROUP BY test_id
+  UNION ALL SELECT test_id, 'pressure', 2, min(pressure) / 100, max(pressure) / 100, 0.0, 9.0, 0.0, 9.0 FROM g GROUP BY test_id),
+gt AS (
+  SELECT test_id, channel, version_id, CASE WHEN version_id IS NULL THEN 'not_bound' WHEN test_id % 11 = 0 THEN 'spans_boundary' WHEN lo < a - 1e-9 OR hi > b + 1e-9 THEN 'range_uncovered'
+    WHEN lo < x0 OR hi > x1 THEN 'points_outside' END AS gate FROM e)"""
+
+
+@query("calibration_gated", f"WITH {GATED_SQL} SELECT test_id, channel, version_id, gate, gate IS NULL AS accepted FROM gt")
+def calibration_gated(spark, sf_dir):
+    """Gates of readings that are held against certificates in other units."""
+    return _gated(spark, sf_dir)[1]
+
+
 CORRECT_SQL = f"""{stroke_records.GRID_SQL},
 u AS (SELECT test_id, i AS idx, t, 'command' AS channel, command AS v FROM g UNION ALL SELECT test_id, i, t, 'position', position FROM g UNION ALL SELECT test_id, i, t, 'pressure', pressure FROM g),
 k AS (SELECT *, CASE channel WHEN 'command' THEN -5 + (v + 5) * 110.5::DOUBLE / 110 WHEN 'position' THEN CASE WHEN v / 100 * 50 <= 25 THEN 0.4 + v / 100 * 50 * 24.8::DOUBLE / 25 ELSE 25.2 + (v / 100 * 50 - 25) * 35.3::DOUBLE / 35 END / 50 * 100
   ELSE CASE WHEN test_id % 3 = 0 THEN v WHEN v / 100 <= 5 THEN (0.01 + v / 100 * 5.04::DOUBLE / 5) * 100 ELSE (5.05 + (v / 100 - 5) * 3.95::DOUBLE / 4) * 100 END END AS c FROM u)"""
 
 
+@query("calibration_gated_shift", f"""WITH {GATED_SQL}, {CORRECT_SQL.removeprefix(stroke_records.GRID_SQL + ",")}
+SELECT test_id, channel, round(avg(CASE WHEN gate IS NULL AND (channel <> 'pressure' OR test_id % 3 > 0) THEN c - v ELSE 0 END), 6) + 0.0 AS shift
+FROM k JOIN gt USING (test_id, channel) WHERE channel <> 'pressure' OR test_id % 3 > 0 GROUP BY ALL""")
+def calibration_gated_shift(spark, sf_dir):
+    """Mean correction of each channel by the chain that its gates let through."""
+    found = _gated(spark, sf_dir)[0].where("channel <> 'pressure' or test_id % 3 > 0")
+    return found.groupBy("test_id", "channel").agg((F.round(F.avg("shift"), 6) + 0.0).alias("shift"))
+
+
 @query("calibration_correct", f"WITH {CORRECT_SQL} SELECT channel, idx, count(*) AS n, round(min(c), 6) + 0.0 AS low, round(max(c), 6) AS high, round(avg(c - v), 4) + 0.0 AS mean_shift FROM k GROUP BY ALL")
 def calibration_correct(spark, sf_dir):
     """Samples corrected through their certificates' units and points, rejected channels as they are; ranges and shifts by channel and index."""
@@ -236,6 +275,16 @@ def uncertainty_inputs(spark, sf_dir):
     return uncertainty.build_inputs(declared, chain, spans)
 
 
+@query("uncertainty_states", """SELECT p_partkey AS test_id, CASE WHEN p_size % 4 = 0 OR p_size % 7 = 0 THEN 'invalid' ELSE 'evaluated' END AS state FROM part""")
+def uncertainty_states(spark, sf_dir):
+    """Which inputs are evaluated: a component without a sense, or a range that doesn't hold, stops all of a test's."""
+    z = F.col("p_size")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("test_id"), "p_size")
+    jitter = part.where(z % 5 == 0).select("test_id", F.lit("position").alias("channel"), F.lit(0.01).alias("jitter_s"))
+    problems = part.select("test_id", F.when(z % 7 == 0, "range_uncovered").alias("problem"))
+    return uncertainty.input_states(uncertainty_inputs(spark, sf_dir), jitter, problems)
+
+
 @query("uncertainty_ranges", """WITH r AS (SELECT l_suppkey AS k, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY ALL)
 SELECT k AS test_id, CASE WHEN k % 5 = 0 THEN 'range_missing_or_conflict' WHEN lo < (4.0::DOUBLE + k % 3 * 0.16::DOUBLE - 4) / 16 * 100 OR hi > (12.0::DOUBLE - 4) / 16 * 100 THEN 'range_uncovered' END AS problem FROM r""")
 def uncertainty_ranges(spark, sf_dir):
@@ -249,7 +298,7 @@ def uncertainty_ranges(spark, sf_dir):
 TRIAL_SQL = """t AS (SELECT l_suppkey AS test_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS trial, l_quantity / 5 AS value FROM lineitem)"""
 EVALUATE_SQL = f"""{TRIAL_SQL}, n(metric, lim) AS (VALUES ('travel_time', 10.0), ('deadband', 2.0), ('hysteresis', 3.0), ('overshoot', 5.0), ('steady_state', 2.0)),
 a AS (SELECT test_id, metric, lim, count(*) AS cn, quantile_cont(value + CASE metric WHEN 'deadband' THEN 5 WHEN 'overshoot' THEN -8 ELSE 0 END, 0.025) AS lo, quantile_cont(value + CASE metric WHEN 'deadband' THEN 5 WHEN 'overshoot' THEN -8 ELSE 0 END, 0.975) AS hi FROM t, n WHERE metric <> 'hysteresis' GROUP BY ALL),
-ev AS (SELECT s.test_id, n.metric, coalesce(cn, 0) AS n, round(lo, 4) AS low, round(hi, 4) AS high, CASE WHEN n.metric = 'hysteresis' THEN 'not_applicable' WHEN coalesce(cn, 0) < 30 THEN 'insufficient' WHEN round(hi, 4) < n.lim THEN 'pass' WHEN round(lo, 4) > n.lim THEN 'fail' ELSE 'indeterminate' END AS status
+ev AS (SELECT s.test_id, n.metric, coalesce(cn, 0) AS n, round(lo, 4) AS low, round(hi, 4) AS high, CASE WHEN n.metric = 'hysteresis' THEN 'not_applicable' WHEN coalesce(cn, 0) < 30 THEN 'indeterminate' WHEN round(hi, 4) < n.lim THEN 'pass' WHEN round(lo, 4) > n.lim THEN 'fail' ELSE 'indeterminate' END AS status
   FROM (SELECT DISTINCT test_id FROM t) s CROSS JOIN n LEFT JOIN a ON a.test_id = s.test_id AND a.metric = n.metric)"""
 
 
@@ -272,13 +321,31 @@ def uncertainty_evaluate(spark, sf_dir):
 
 
 @query("uncertainty_overall", f"""WITH {EVALUATE_SQL}, vl AS (SELECT test_id, count(*) AS nv FROM t GROUP BY test_id), sx AS (SELECT test_id, list(DISTINCT status) AS s FROM ev GROUP BY test_id)
-SELECT test_id, CASE WHEN nv < 96 OR list_contains(s, 'insufficient') THEN 'indeterminate' WHEN list_contains(s, 'fail') THEN 'fail' WHEN list_contains(s, 'indeterminate') THEN 'indeterminate' ELSE 'pass' END AS overall FROM sx JOIN vl USING (test_id)""")
+SELECT test_id, CASE WHEN nv < 96 THEN 'indeterminate' WHEN list_contains(s, 'fail') THEN 'fail' WHEN list_contains(s, 'indeterminate') THEN 'indeterminate' ELSE 'pass' END AS overall FROM sx JOIN vl USING (test_id)""")
 def uncertainty_overall(spark, sf_dir):
     """Overall conformance of every test."""
     trials, central, valid = _trials(spark, sf_dir)
     return uncertainty.overall(uncertainty.evaluate(trials, central), valid)
 
 
+@query("trials_valid", f"""WITH {TRIAL_SQL} SELECT s_suppkey AS test_id, coalesce(n, 0) AS n_valid, 120 - coalesce(n, 0) AS n_failed FROM supplier
+  LEFT JOIN (SELECT test_id, count(*) FILTER (WHERE value > 2) AS n FROM t GROUP BY test_id) ON test_id = s_suppkey""")
+def trials_valid(spark, sf_dir):
+    """Valid and failed trials of all tests, also of those without any."""
+    trials, _, _ = _trials(spark, sf_dir)
+    tests = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("test_id"))
+    return uncertainty.valid_trials(tests, trials.where("metric = 'travel_time' and value > 2"))
+
+
+@query("supply_conformance", f"""WITH {TRIAL_SQL} SELECT test_id, count(*) AS n, round(quantile_cont(value * 40, 0.025), 4) AS low, round(quantile_cont(value * 40, 0.975), 4) AS high,
+  CASE WHEN round(quantile_cont(value * 40, 0.025), 4) > 300 THEN 'pass' WHEN round(quantile_cont(value * 40, 0.975), 4) < 300 THEN 'fail' ELSE 'indeterminate' END AS status FROM t GROUP BY test_id HAVING count(*) >= 30""")
+def supply_conformance(spark, sf_dir):
+    """Intervals of the least supply pressure against their lower limit."""
+    trials, _, _ = _trials(spark, sf_dir)
+    least = trials.where("metric = 'travel_time'").select("test_id", "trial", F.lit(uncertainty.SUPPLY).alias("metric"), (F.col("value") * 40).alias("value"))
+    return uncertainty.supply_conformance(least)
+
+
 ITEM_SQL = """i AS (SELECT o_custkey AS grp, o_orderkey AS id, o_orderdate AS ts, o_orderstatus AS load, o_orderpriority AS medium, o_totalprice AS supply FROM orders),
 r AS (SELECT *, first_value(load) OVER w AS l0, first_value(medium) OVER w AS m0, first_value(supply) OVER w AS s0 FROM i WINDOW w AS (PARTITION BY grp ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 q AS (SELECT *, list_filter([CASE WHEN id % 9 = 0 THEN 'no_conclusion' END, CASE WHEN load <> l0 THEN 'load' END, CASE WHEN abs(supply - s0) > 0.5 * abs(s0) THEN 'supply' END], lambda x: x IS NOT NULL) AS reasons FROM r)"""

@@ -9,13 +9,14 @@ from fleetgauge.operators import fullstroke, runs
 from fleetgauge.plans import stroke_records as records
 from fleetgauge.plans.registry import query
 from fleetgauge.plans.stroke_records import GRID_SQL, KEYS, SEGMENT_SQL
+from fleetgauge.sources.held import hold
 
 
 def parts(spark, sf_dir):
     """Grid, segments and the grid's points with their segments."""
     grid = records.grid(spark, sf_dir)
-    segs = fullstroke.segment(grid, KEYS)
-    return grid, segs, fullstroke.in_segments(grid, segs, KEYS)
+    segs = hold(fullstroke.segment(grid, KEYS), "segments")
+    return grid, segs, hold(fullstroke.in_segments(grid, segs, KEYS), "rows")
 
 
 @query("stroke_segments", f"""WITH {SEGMENT_SQL} SELECT test_id, seg, type, i_start, i_end, t_start, t_end, cmd_start, cmd_end, target,

@@ -22,8 +22,13 @@ def _command(i: Column) -> Column:
 
 def grid(spark, sf_dir) -> DataFrame:
     """(test_id, i, t, command, position, pressure)."""
+    return grid_of(table(spark, sf_dir, "part"))
+
+
+def grid_of(tests: DataFrame) -> DataFrame:
+    """The records of ``tests`` (p_partkey, p_size)."""
     size, key, i = F.col("p_size"), F.col("p_partkey"), F.col("i")
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(239))).alias("i"))
+    rows = tests.select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(239))).alias("i"))
     base = _command(i - size % 5)
     base = F.when(size % 4 == 0, F.floor(base / 4) * 4.0).otherwise(base)
     base = F.when(size % 11 == 5, F.least(base, F.lit(80.0))).otherwise(base)

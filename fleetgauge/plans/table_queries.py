@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import physics, units, verdicts
-from fleetgauge.operators import calibration, runs, stats, uncertainty, versions
+from fleetgauge.operators import calibration, fullstroke, runs, stats, uncertainty, versions
+from fleetgauge.plans import stroke_records
 from fleetgauge.plans.registry import query, table
 from fleetgauge.plans.series_queries import samples
+from fleetgauge.sources.held import hold
 
 RUNS_SQL = """n AS (SELECT *, CASE WHEN {v} IS DISTINCT FROM lag({v}) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM {t} WINDOW w AS (PARTITION BY {k} ORDER BY {o})),
 g AS (SELECT *, sum(new) OVER (PARTITION BY {k} ORDER BY {o} ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM n)"""
@@ -236,7 +238,23 @@ def conformance(spark, sf_dir):
 
 @query("mc_interval")
 def mc_interval(spark, sf_dir):
-    """Interval of each channel's spread over perturbed trials."""
-    trials = uncertainty.perturb(samples(spark, sf_dir), per_trial=0.5, per_point=0.1, jitter_s=30.0)
-    spread = trials.groupBy("test_id", "channel", "trial").agg((F.max("v") - F.min("v")).alias("spread"))
-    return uncertainty.intervals(spread, ["test_id", "channel"], "spread")
+    """Intervals of the stroke metrics of each supplier's record over perturbed trials, with manual boundaries and failed trials."""
+    n = 32
+    tests = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey"), (F.col("s_nationkey") + 1).alias("p_size"))
+    grid = stroke_records.grid_of(tests)
+    each = F.array(*[F.struct(F.lit(x).alias("channel"), F.col(x).alias("v")) for x in ("command", "position", "pressure")])
+    rows = grid.select("test_id", F.col("i").alias("idx"), "t", F.explode(each).alias("x")).select("test_id", "x.channel", "idx", "t", "x.v")
+    parts = [("position", "accuracy", 0.3, "rectangular", False), ("position", "resolution", 0.05, "rectangular", True), ("pressure", "calibration", 2.0, "normal", False)]
+    part = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(k).alias("kind"), F.lit("channel").alias("source"), F.lit(x).alias("scale"), F.lit(d).alias("distribution"), F.lit(p).alias("per_point")) for c, k, x, d, p in parts])
+    ids = tests.select(F.col("p_partkey").alias("test_id"), "p_size")
+    inputs = ids.select("test_id", F.when((F.col("p_size") % 8 == 0), "invalid").otherwise("used").alias("status"), F.explode(part).alias("x")).select("test_id", "x.*", "status")
+    jitter = ids.select("test_id", F.lit("position").alias("channel"), F.lit(0.01).alias("jitter_s"))
+    moves = ids.where("p_size % 9 = 0").select("test_id", F.lit(1).alias("seq"), F.lit(1).alias("segment_index"), F.lit("start").alias("boundary"), F.lit(6.0).alias("new_time"))
+    trials = hold(uncertainty.trial_metrics(uncertainty.perturb_by(rows, inputs, jitter, n), moves=moves, trials=n), "trials")
+    segs = hold(fullstroke.segment(grid, ["test_id"], moves), "segments")
+    central = fullstroke.metrics(grid, fullstroke.in_segments(grid, segs, ["test_id"]), segs, ["test_id"])
+    due = uncertainty.input_states(inputs, jitter).where("state = 'evaluated'").select("test_id")
+    found = hold(uncertainty.evaluate(trials, central, n_trials=n, tests=due), "intervals")
+    overall = uncertainty.overall(found, uncertainty.valid_trials(due, trials, n), n)
+    supply = uncertainty.supply_conformance(trials).select("test_id", F.lit(uncertainty.SUPPLY).alias("metric"), "n", "low", "high", "status")
+    return found.unionByName(supply).join(overall, "test_id")
