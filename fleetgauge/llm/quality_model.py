@@ -280,7 +280,10 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataF
     _, patterns = learn_labels(table.select(names))
     rows = table.join(F.broadcast(patterns), names)  # every pattern of the table is there
     ids = hash_sample(table.where("doc_id is not null").select("doc_id").distinct(), "doc_id", sample)
-    train = materialise(rows.join(F.broadcast(ids), "doc_id", "left_semi").select("slots", "counts", "posterior"), "weakly-labelled")
+    # One row per sampled id, however often it is repeated: at most ``sample`` rows.
+    one = F.min(F.struct("slots", "counts", "posterior")).alias("one")
+    train = rows.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(one).select("one.*")
+    train = materialise(train, "weakly-labelled")
     edges = train.agg(F.min("posterior"), F.max("posterior")).first()
     if edges[0] is None or edges[1] - edges[0] < 1e-6:
         rows = rows.select("doc_id", "posterior", F.col("posterior").alias("score"))

@@ -90,12 +90,13 @@ class ToxicityModel:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of at most ``sample`` labelled documents of the other folds, as a table."""
+    """(text, toxic) of at most ``sample`` labelled documents of the other folds, as a table; of rows with one id the first text counts."""
     usable = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__fg_toxic"))
     chosen = hash_sample(usable, "doc_id", sample).withColumnRenamed("doc_id", "__fg_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__fg_id"))
-    return materialise(rows.select("text", F.col("__fg_toxic").alias("toxic")), "labelled")
+    rows = rows.groupBy("__fg_id").agg(F.min("text").alias("text"), F.first("__fg_toxic").alias("toxic"))
+    return materialise(rows.select("text", "toxic"), "labelled")
 
 
 def _unit_counts(rows: DataFrame) -> DataFrame:
