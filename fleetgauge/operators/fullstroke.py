@@ -34,15 +34,20 @@ def directions(grid: DataFrame, keys: list[str], slope_min: float = 0.5, window_
 
 
 def cut(grid: DataFrame, keys: list[str], min_dwell_s: float = 1.0, **how: float) -> DataFrame:
-    """Segments before manual moves: keys, seg, type, i_start, i_end; dwells shorter than ``min_dwell_s`` join the motion before."""
-    marked = runs.mark_runs(directions(grid, keys, **how), keys, ["i"], F.col("direction"))
+    """Segments before manual moves: keys, seg, type, i_start, i_end, and their first and last points (i, t, c); dwells shorter than ``min_dwell_s`` join the motion before."""
+    c = F.col
+    marked = runs.mark_runs(directions(grid, keys, **how), keys, ["i"], c("direction"))
+    point = F.struct("i", F.round("t", 6).alias("t"), F.round("command", 4).alias("c"))
     found = marked.groupBy(*keys, "run").agg(
-        F.first("direction").alias("direction"), F.min("i").alias("start_at"), F.max("i").alias("end_at"),
+        F.first("direction").alias("direction"), F.min(point).alias("start_at"), F.max(point).alias("end_at"),
         F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("length"),
     )
-    merged = runs.merge_short(found, keys, "direction", (F.col("direction") == 0) & (F.col("length") < min_dwell_s))
-    kind = F.when(F.col("direction") == 1, "opening").when(F.col("direction") == -1, "closing").otherwise("dwell")
-    return merged.select(*keys, (F.col("merged") - 1).cast("int").alias("seg"), kind.alias("type"), F.col("start_at").alias("i_start"), F.col("end_at").alias("i_end"))
+    merged = runs.merge_short(found, keys, "direction", (c("direction") == 0) & (c("length") < min_dwell_s))
+    kind = F.when(c("direction") == 1, "opening").when(c("direction") == -1, "closing").otherwise("dwell")
+    return merged.select(
+        *keys, (c("merged") - 1).cast("int").alias("seg"), kind.alias("type"), c("start_at.i").alias("i_start"), c("end_at.i").alias("i_end"),
+        c("start_at.t").alias("t_start"), c("end_at.t").alias("t_end"), c("start_at.c").alias("cmd_start"), c("end_at.c").alias("cmd_end"),
+    )
 
 
 def move_boundaries(segs: DataFrame, grid: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,10 +90,10 @@ def segment(grid: DataFrame, keys: list[str], moves: DataFrame | None = None, **
     segs = cut(grid, keys, **how)
     if moves is not None:
         segs = move_boundaries(segs, grid, moves, keys)
-    points = grid.select(*keys, "i", F.round("t", 6).alias("t"), F.round("command", 4).alias("c"))
-    starts = points.select(*keys, F.col("i").alias("i_start"), F.col("t").alias("t_start"), F.col("c").alias("cmd_start"))
-    ends = points.select(*keys, F.col("i").alias("i_end"), F.col("t").alias("t_end"), F.col("c").alias("cmd_end"))
-    segs = segs.join(starts, [*keys, "i_start"]).join(ends, [*keys, "i_end"])
+        points = grid.select(*keys, "i", F.round("t", 6).alias("t"), F.round("command", 4).alias("c"))
+        starts = points.select(*keys, F.col("i").alias("i_start"), F.col("t").alias("t_start"), F.col("c").alias("cmd_start"))
+        ends = points.select(*keys, F.col("i").alias("i_end"), F.col("t").alias("t_end"), F.col("c").alias("cmd_end"))
+        segs = segs.join(starts, [*keys, "i_start"]).join(ends, [*keys, "i_end"])
     along = Window.partitionBy(*keys).orderBy("seg")
     target = F.when(F.col("type") != "dwell", F.coalesce(F.lead("cmd_start").over(along), F.col("cmd_start")))
     before = F.lag("type").over(along)
@@ -112,11 +117,12 @@ def in_segments(grid: DataFrame, segs: DataFrame, keys: list[str]) -> DataFrame:
     """``grid`` with the seg, type and target each point lies in, and own and before: that segment and the one before it as structs."""
     own = F.struct("seg", "type", "target", "t_start", "t_end", "next_t_start")
     along = Window.partitionBy(*keys).orderBy("seg")
-    starts = segs.select(*keys, F.col("i_start").alias("i"), F.struct(own.alias("own"), F.lag(own).over(along).alias("before")).alias("__s"))
-    rows = grid.join(starts, [*keys, "i"], "left")
-    so_far = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__s", F.last("__s", ignorenulls=True).over(so_far)).select("*", "__s.*").drop("__s")
-    return rows.select("*", "own.seg", "own.type", "own.target")
+    starts = segs.select(*keys, F.col("i_start").cast(grid.schema["i"].dataType).alias("i"), F.struct(own.alias("own"), F.lag(own).over(along).alias("before")).alias("__s"))
+    # Starts lie among the points, so one shuffle by test does for both.
+    rows = grid.withColumn("__point", F.lit(1)).unionByName(starts.withColumn("__point", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys).orderBy("i", "__point").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__s", F.last("__s", ignorenulls=True).over(so_far)).where("__point = 1")
+    return rows.select(*grid.columns, "__s.*").select("*", "own.seg", "own.type", "own.target")
 
 
 def missing_types(segs: DataFrame, keys: list[str]) -> DataFrame:

@@ -399,6 +399,55 @@ def compare_drifts(spark, sf_dir):
     return compare.drifts(values, "grp", "x", 100000.0)
 
 
+#: Columns of an item made from an order, by what a rule looks at: SQL over orders, and the rule's kind and tolerance.
+_SAME = {"load": "o_orderstatus", "medium": "o_orderpriority[1]", "actuator_type": "o_orderkey % 2", "thresholds": "o_custkey % 2"}
+KIND_ITEMS = {
+    "failsafe": (compare.FAILSAFE, {**_SAME, "supply_pressure_kpa": "o_totalprice", "ambient_temp_c": "o_orderkey % 12", "window_s": "20 + o_orderkey % 3"}),
+    "seat": (compare.SEAT, {"valve_id": "o_custkey", "gas": "o_orderstatus", "flow_direction": "o_orderkey % 2", "seat": "o_orderpriority[1]", "molar_mass": "28 + o_orderkey % 2 * 0.4", "differential_kpa": "o_totalprice"}),
+    "thrust": (compare.THRUST, {"actuator_type": "o_orderkey % 2", "stem_direction": "o_custkey % 2", "spring_version": "o_orderstatus", "load": "o_orderpriority[1]", "medium": "o_custkey % 3", "area_a": "200 + o_orderkey % 7", "area_b": "CASE WHEN o_orderkey % 5 > 0 THEN 180 + o_orderkey % 4 END"}),
+    "flow": (compare.FLOW, {"trim": "o_orderstatus", "fluid": "o_custkey % 2", "flow_direction": "o_orderkey % 2", "meter": "o_orderpriority[1]", "nameplate": "o_custkey % 5", "density": "998 + o_orderkey % 3 * 0.3", "vapor_pressure": "CASE WHEN o_orderkey % 6 > 0 THEN 2 + o_orderkey % 7 END"}),
+    "switch": (compare.SWITCH, {"channel_map": "o_orderkey % 2", "polarity": "o_orderstatus", "debounce_s": "o_orderkey % 3", "mutual_exclusion": "o_custkey % 2", "windows": "o_orderpriority[1]", "thresholds": "o_custkey % 3"}),
+    "partial": (compare.PARTIAL, {"trim": "o_orderstatus", "start_pct": "o_orderkey % 2", "direction": "o_custkey % 2", "target_pct": "o_orderkey % 3"}),
+}
+#: Tolerances of the rules that aren't equality, absolute or as a share of the reference.
+TOLERANCES = {
+    "failsafe": {"supply_pressure_kpa": (None, 0.10), "ambient_temp_c": (5.0, None), "window_s": (None, 0.10)}, "seat": {"molar_mass": (0.5, None), "differential_kpa": (None, 0.10)},
+    "thrust": {"area_a": (None, 0.02), "area_b": (None, 0.02)}, "flow": {"density": (0.5, None), "vapor_pressure": (5.0, None)}, "switch": {}, "partial": {},
+}
+
+
+def _kind_sql(kind: str) -> str:
+    rules, made = KIND_ITEMS[kind]
+    items = ", ".join(f"({x}) AS {n}" for n, x in made.items())
+    firsts = ", ".join(f"first_value({n}) OVER w AS r_{n}" for n in made)
+    off = []
+    for n in rules:
+        absolute, share = TOLERANCES[kind].get(n, (None, None))
+        if absolute is None and share is None:
+            off.append(f"CASE WHEN {n} IS DISTINCT FROM r_{n} THEN '{n}' END")
+        else:
+            limit = repr(absolute) if share is None else f"{share!r} * abs(r_{n})"
+            off.append(f"CASE WHEN coalesce(abs({n} - r_{n}) > {limit}, ({n} IS NULL) <> (r_{n} IS NULL)) THEN '{n}' END")
+    return f"""WITH i AS (SELECT o_custkey AS grp, o_orderkey AS id, o_orderdate AS ts, {items} FROM orders),
+r AS (SELECT *, {firsts} FROM i WINDOW w AS (PARTITION BY grp ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT grp, id, array_to_string(list_filter([{", ".join(off)}], lambda x: x IS NOT NULL), ',') AS reasons FROM r"""
+
+
+def _kind_query(kind: str):
+    def run(spark, sf_dir):
+        rules, made = KIND_ITEMS[kind]
+        columns = [F.expr(x.replace("o_orderpriority[1]", "substr(o_orderpriority, 1, 1)")).alias(n) for n, x in made.items()]
+        items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), *columns)
+        return compare.compatible(items, "grp", rules).select("grp", "id", F.array_join("reasons", ",").alias("reasons"))
+
+    run.__doc__ = f"Why {kind} analyses can't be compared with the first of their group, by the rules of their kind."
+    return run
+
+
+for _kind in KIND_ITEMS:
+    query(f"compare_{_kind}", _kind_sql(_kind))(_kind_query(_kind))
+
+
 @query("compare_pairs", """WITH p AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer) SELECT k, array_to_string(list_filter([CASE WHEN n = 1 THEN 'pre_no_conclusion' END, CASE WHEN n = 2 THEN 'post_no_conclusion' END, CASE WHEN n % 5 = 3 THEN 'post_chain_rejected' END,
   CASE WHEN n % 4 = 1 THEN 'direction_missing' END, CASE WHEN n % 7 > 5 THEN 'command_span' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p""")
 def compare_pairs(spark, sf_dir):

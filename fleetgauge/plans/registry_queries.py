@@ -30,10 +30,10 @@ def specs(spark, sf_dir):
 
 PARTIAL_SQL = """p0 AS (SELECT c_custkey AS test_id, c_nationkey AS n, i, i / 10.0::DOUBLE AS t, CASE c_nationkey WHEN 3 THEN 6.0 WHEN 5 THEN 16.0 ELSE 11.0 END::DOUBLE AS reach, c_nationkey % 4 * 2 AS lag FROM customer, range(200) x(i)),
 p1 AS (SELECT test_id, n, i, t, CASE WHEN i BETWEEN 30 AND 89 AND n <> 7 THEN 12.0 ELSE 0.0 END::DOUBLE AS step, least(least(reach, greatest(i - 30 - lag, 0) * 0.5), greatest(CASE WHEN n = 9 THEN 2.0 ELSE 0.0 END, reach - greatest(i - 90 - lag, 0) * 0.5))::DOUBLE * CASE WHEN n = 7 THEN 0 ELSE 1 END AS gone FROM p0),
-p2 AS (SELECT *, min(gone) OVER (PARTITION BY test_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) >= 0.5 AS held, max((abs(gone) > 1)::INT) OVER (PARTITION BY test_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) = 0 AS calm FROM p1),
-p3 AS (SELECT test_id, any_value(n) AS n, min(i) FILTER (WHERE step >= 1) AS ic FROM p2 GROUP BY test_id),
+p2 AS (SELECT *, min(gone) OVER (PARTITION BY test_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) >= 0.5 AS held, max((abs(gone) > 1)::INT) OVER (PARTITION BY test_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) = 0 AS calm FROM p1),
+p3 AS (SELECT test_id, any_value(n) AS n, min(i) FILTER (WHERE step >= 2) AS ic FROM p2 GROUP BY test_id),
 p4 AS (SELECT p2.test_id, any_value(p3.n) AS n, any_value(ic) AS ic, min(i) FILTER (WHERE i >= ic AND held) AS im, min(i) FILTER (WHERE i >= ic AND gone >= 10) AS it, arg_max(i, (gone, -i)) FILTER (WHERE i >= ic) AS ix, max(gone) FILTER (WHERE i >= ic) AS most, arg_max(gone, i) AS lastg FROM p2 JOIN p3 ON p3.test_id = p2.test_id GROUP BY p2.test_id),
-p5 AS (SELECT p2.test_id, min(i) FILTER (WHERE i > coalesce(it, ix) AND step < 1) AS ir FROM p2 JOIN p4 ON p4.test_id = p2.test_id GROUP BY p2.test_id),
+p5 AS (SELECT p2.test_id, min(i) FILTER (WHERE i > coalesce(it, ix) AND step < 2) AS ir FROM p2 JOIN p4 ON p4.test_id = p2.test_id GROUP BY p2.test_id),
 p6 AS (SELECT p2.test_id, min(i) FILTER (WHERE i >= ir AND calm) AS ise FROM p2 JOIN p5 ON p5.test_id = p2.test_id GROUP BY p2.test_id),
 pz AS (SELECT p4.*, ir, ise FROM p4 JOIN p5 USING (test_id) JOIN p6 USING (test_id))"""
 
@@ -55,6 +55,36 @@ def partial_phases(spark, sf_dir):
     return partial.phases(partial.boundaries(grid(spark, sf_dir), specs(spark, sf_dir), KEYS), KEYS)
 
 
+_DUE = "ic IS NOT NULL"
+CHECK_SQL = f"""{PARTIAL_SQL}, hd AS (SELECT p2.test_id, round(max(gone) - min(gone), 4) AS drift FROM p2 JOIN pz ON pz.test_id = p2.test_id AND i BETWEEN it AND ir GROUP BY p2.test_id),
+rs AS (SELECT test_id, round(abs(gone), 4) AS residual FROM p2 WHERE i = 199),
+ck AS (
+  SELECT test_id, 'breakaway_delay' AS metric, round((im - ic) / 10.0, 3)::DOUBLE AS value, NULL::DOUBLE AS low, 5.0::DOUBLE AS high FROM pz WHERE {_DUE}
+  UNION ALL SELECT test_id, 'effective_travel', most, 9.5, NULL FROM pz WHERE {_DUE}
+  UNION ALL SELECT test_id, 'overshoot', greatest(0.0, most - 10), NULL, 2.0 FROM pz WHERE {_DUE}
+  UNION ALL SELECT test_id, 'avg_speed', round(10 / ((it - im) / 10.0), 3), 0.5, NULL FROM pz WHERE it > im
+  UNION ALL SELECT test_id, 'hold_drift', drift, NULL, 1.0 FROM pz JOIN hd USING (test_id) WHERE {_DUE}
+  UNION ALL SELECT test_id, 'return_time', round((ise - ir) / 10.0, 3), NULL, 10.0 FROM pz WHERE ir IS NOT NULL
+  UNION ALL SELECT test_id, 'residual', residual, NULL, 1.0 FROM pz JOIN rs USING (test_id) WHERE {_DUE}
+  UNION ALL SELECT test_id, 'total_time', round((coalesce(ise, 199) - ic) / 10.0, 3), NULL, 8.0 + test_id % 3 FROM pz WHERE {_DUE})"""
+
+
+@query("partial_checks", f"WITH {CHECK_SQL} SELECT test_id, metric, round(value, 3) + 0.0 AS value, low, high, coalesce(value >= low - 1e-9, value <= high + 1e-9, false) AS passes FROM ck")
+def partial_checks(spark, sf_dir):
+    """Metrics of every partial stroke against its limits."""
+    found = partial.boundaries(grid(spark, sf_dir), specs(spark, sf_dir), KEYS)
+    limits = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("test_id"), (8.0 + F.col("c_custkey") % 3).alias("time_limit_s"))
+    return partial.checks(found, limits, KEYS).withColumn("value", F.round("value", 3) + 0.0)
+
+
+@query("partial_issues", f"""WITH {PARTIAL_SQL} SELECT test_id, 'no_movement' AS kind FROM pz WHERE ic IS NOT NULL AND im IS NULL
+  UNION ALL SELECT test_id, 'target_not_reached' FROM pz WHERE im IS NOT NULL AND it IS NULL UNION ALL SELECT test_id, 'return_not_observed' FROM pz WHERE ic IS NOT NULL AND ir IS NULL
+  UNION ALL SELECT test_id, 'not_settled' FROM pz WHERE ir IS NOT NULL AND ise IS NULL""")
+def partial_issues(spark, sf_dir):
+    """What partial strokes did not do."""
+    return partial.issues(partial.boundaries(grid(spark, sf_dir), specs(spark, sf_dir), KEYS), KEYS)
+
+
 @query("registry_new_valves", """WITH s AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 50 = 0 THEN ' ' ELSE 'V' || o_custkey END AS tag FROM orders), a AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY seq) AS at_ FROM s)
 SELECT seq, tag, CASE WHEN trim(tag) = '' THEN 'empty_tag' WHEN EXISTS (SELECT 1 FROM supplier WHERE 'V' || s_suppkey = tag) THEN 'exists' WHEN at_ > 1 THEN 'repeated' ELSE 'created' END AS state FROM a""")
 def registry_new_valves(spark, sf_dir):
