@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import physics
-from fleetgauge.operators import runs, stats
+from fleetgauge.operators import interp, runs, stats
 from fleetgauge.sources.held import hold
 
 #: Default limits.
@@ -94,9 +94,10 @@ def plateaus(grid: DataFrame, keys: list[str], velocity: Column, limits: dict[st
 def move_plateaus(found: DataFrame, grid: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
     """``found`` after one manual move per boundary (keys, plateau, boundary, new_time); a move that would pass a neighbour is not applied."""
     along = Window.partitionBy(*keys).orderBy("plateau")
-    placed = moves.join(grid.select(*keys, "i", "t"), keys).groupBy(*keys, "plateau", "boundary", "new_time")
-    placed = placed.agg(F.min(F.struct(F.abs(F.col("t") - F.col("new_time")), "i")).alias("x")).groupBy(*keys, "plateau")
-    placed = placed.agg(F.max(F.when(F.col("boundary") == "start", F.col("x.i"))).alias("new_start"), F.max(F.when(F.col("boundary") == "end", F.col("x.i"))).alias("new_end"))
+    known = grid.select(*keys, "t", F.col("i").alias("idx"), F.col("t").alias("v"))
+    asked = moves.select(*keys, F.col("new_time").cast("double").alias("t"), "plateau", "boundary")
+    placed = interp.nearest(asked, known, keys).groupBy(*keys, "plateau")
+    placed = placed.agg(F.max(F.when(F.col("boundary") == "start", F.col("near.idx"))).alias("new_start"), F.max(F.when(F.col("boundary") == "end", F.col("near.idx"))).alias("new_end"))
     rows = found.withColumn("__low", F.lag("i_end").over(along)).withColumn("__high", F.lead("i_start").over(along)).join(placed, [*keys, "plateau"], "left")
     start = F.when((F.col("new_start") < F.col("i_end")) & F.coalesce(F.col("new_start") > F.col("__low"), F.lit(True)), F.col("new_start"))
     rows = rows.withColumn("i_start", F.coalesce(start, F.col("i_start")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import physics
-from fleetgauge.operators import curves, runs, stats
+from fleetgauge.operators import curves, interp, runs, stats
 from fleetgauge.sources.held import hold
 
 #: Default limits.
@@ -87,8 +87,9 @@ def delineate(grid: DataFrame, derived: DataFrame, keys: list[str], limits: dict
 
 def move_boundaries(segs: DataFrame, grid: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
     """``segs`` (i_iso, i_hold, i_end) after manual moves (keys, seq, boundary isolation, hold or end, new_time) in order; a move that would pass a neighbour is not applied."""
-    near = F.min(F.struct(F.abs(F.col("t") - F.col("new_time")), "i"))["i"]
-    placed = moves.join(grid.select(*keys, "i", "t"), keys).groupBy(*keys, "seq", "boundary", "new_time").agg(near.alias("i_new"))
+    known = grid.select(*keys, "t", F.col("i").alias("idx"), F.col("t").alias("v"))
+    asked = moves.select(*keys, F.col("new_time").cast("double").alias("t"), "seq", "boundary")
+    placed = interp.nearest(asked, known, keys).withColumn("i_new", F.col("near.idx"))
     steps = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "boundary", "i_new"))).alias("steps"))
     start = F.struct(*[F.col(n).cast("long").alias(n) for n in ("i_iso", "i_hold", "i_end")])
 
