@@ -15,6 +15,11 @@ _COMPONENT = "struct<kind:string,value:double,unit:string,distribution:string>"
 _CHANNEL = f"struct<resolution:{_COMPONENT},accuracy:{_COMPONENT},zero_drift:{_COMPONENT},calibration:{_COMPONENT},time_jitter_s:double>"
 _QUANTITY = "struct<value:double,unit:string>"
 _CURVE = "array<array<double>>"
+_CHAMBER = f"struct<min_volume:{_QUANTITY},max_volume:{_QUANTITY}>"
+_ACTUATOR = (
+    f"struct<actuator_type:string,fail_mode:string,air_chambers:array<string>,chamber_a:{_CHAMBER},chamber_b:{_CHAMBER},area_a:{_QUANTITY},area_b:{_QUANTITY},spring:struct<force_unit:string,points:{_CURVE}>,"
+    f"load:{_QUANTITY},friction:{_QUANTITY},port_conductance:{_QUANTITY},initial_position_pct:double,initial_chamber_pressure:{_QUANTITY}>"
+)
 
 #: Fields of every kind: name, (path, type).
 COMMON = {
@@ -54,7 +59,7 @@ FIELDS = {
         "pv_measurement_type": ("$.pv_measurement_type", "string"),
     },
     "airsupply": {
-        "actuator": ("$.actuator", "variant"), "supply": ("$.supply", f"struct<header_pressure:{_QUANTITY}>"), "tank": ("$.tank", f"struct<volume:{_QUANTITY},initial_pressure:{_QUANTITY}>"),
+        "actuator": ("$.actuator", _ACTUATOR), "supply": ("$.supply", f"struct<header_pressure:{_QUANTITY}>"), "tank": ("$.tank", f"struct<volume:{_QUANTITY},initial_pressure:{_QUANTITY}>"),
         "pipe_segments": ("$.pipe_segments", "array<struct<name:string,length_m:double,inner_diameter_mm:double,friction_factor:double,minor_loss_k:double>>"),
         "regulator": ("$.regulator", f"struct<set_pressure:{_QUANTITY},dp_unit:string,flow_unit:string,flow_curve:{_CURVE}>"),
         "events": ("$.events", f"array<struct<device:string,t_start_s:double,t_end_s:double,flow:{_QUANTITY}>>"),
