@@ -207,7 +207,9 @@ vd AS (
 
 _EDGES = "test_id, contact, edge, t, round(position, 4) AS position, direction, in_window, round(delay, 4) + 0.0 AS delay"
 _EVENTS = "test_id, kind, contact, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, channel, i_start, i_end"
-_METRICS = "* REPLACE (max_delay + 0.0 AS max_delay)"
+#: Means are shown to three digits, so that a tie in the fourth doesn't depend on the order of a sum.
+_MEANS = ("mean_actuation", "mean_release", "mean_differential")
+_METRICS = "* REPLACE (max_delay + 0.0 AS max_delay, " + ", ".join(f"round({m} + 0.00001, 3) AS {m}" for m in _MEANS) + ")"
 
 
 def edges_of(found):
@@ -219,7 +221,8 @@ def events_of(found):
 
 
 def metrics_of(found):
-    return found["metrics"].withColumn("max_delay", F.col("max_delay") + 0.0)
+    means = {m: F.round(F.col(m) + 0.00001, 3) for m in _MEANS}
+    return found["metrics"].withColumns({"max_delay": F.col("max_delay") + 0.0, **means})
 
 
 @query("switch_intervals", f"WITH {CUSTOMER_SQL}, {ADOPTED_SQL} SELECT test_id, t_start, t_end, n_runs, kind, chatter_until, release_t, active_until FROM ad")
@@ -306,11 +309,11 @@ def contact_verdicts(spark, sf_dir):
 
 @query("contact_references", f"""WITH {EVENT_SQL}, {VERDICT_SQL}, ch AS (SELECT test_id, contact AS channel, i, t FROM b UNION ALL SELECT test_id, 'position', i, t FROM p),
 q AS (SELECT DISTINCT test_id, kind, contact, channel, i_start, i_end, unnest([i_start - 1, i_start, i_end, i_end + 1]) AS i FROM ev)
-SELECT test_id, kind, contact, channel, i_start, i_end, string_agg(i || '@' || round(t * 1000)::BIGINT, ',' ORDER BY i) AS refs FROM (SELECT DISTINCT q.*, t FROM q JOIN ch USING (test_id, channel, i)) GROUP BY ALL""")
+SELECT test_id, kind, contact, channel, i_start, i_end, string_agg(i || '@' || floor(round(t, 6) * 1000 + 0.0001)::BIGINT, ',' ORDER BY i) AS refs FROM (SELECT DISTINCT q.*, t FROM q JOIN ch USING (test_id, channel, i)) GROUP BY ALL""")
 def contact_references(spark, sf_dir):
     """The samples at the edges of events and next to them."""
     bit_rows, position_, specs, ignored = event_record(spark, sf_dir)
     samples = bit_rows.select("test_id", F.col("contact").alias("channel"), "idx", "t", "v").unionByName(position_.withColumn("channel", F.lit("position")))
     found = switches.references(switches.analyse(bit_rows, position_, specs, ignored)["events"], samples)
-    shown = F.transform("refs", lambda r: F.concat_ws("@", r["idx"].cast("string"), F.round(r["t"] * 1000).cast("long").cast("string")))
+    shown = F.transform("refs", lambda r: F.concat_ws("@", r["idx"].cast("string"), F.floor(r["t"] * 1000 + 0.0001).cast("long").cast("string")))
     return found.withColumn("refs", F.array_join(shown, ","))
