@@ -83,7 +83,12 @@ def plateaus(grid: DataFrame, keys: list[str], velocity: Column, limits: dict[st
         return out
 
     merged = rows.groupBy(*keys).applyInPandas(run, f"{kinds}, plateau int, i_start long, i_end long")
-    points = merged.withColumn("i", F.explode(F.sequence("i_start", "i_end"))).join(grid.select(*keys, "i", "t", "position"), [*keys, "i"])
+    return described(merged, grid, keys)
+
+
+def described(found: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Stretches (keys, plateau, i_start, i_end) with their times, position and direction."""
+    points = found.withColumn("i", F.explode(F.sequence("i_start", "i_end"))).join(grid.select(*keys, "i", "t", "position"), [*keys, "i"])
     found = points.groupBy(*keys, "plateau", "i_start", "i_end").agg(F.round(F.min("t"), 6).alias("t_start"), F.round(F.max("t"), 6).alias("t_end"), F.round(stats.upper_median("position"), 4).alias("position"))
     along = Window.partitionBy(*keys).orderBy("plateau")
     after, before = F.lead("position").over(along), F.lag("position").over(along)
@@ -207,17 +212,24 @@ def suspects(limits: dict[str, float] = LIMITS) -> Column:
     ))
 
 
-def analyse(grid: DataFrame, valves: DataFrame, keys: list[str], velocity: Column, disabled: DataFrame | None = None, blocks: DataFrame | None = None, limits: dict[str, float] = LIMITS) -> dict[str, DataFrame]:
-    """Plateaus, points, curves and verdicts of all tests; ``blocks`` (keys, code) are gaps found before."""
+def analyse(
+    grid: DataFrame, valves: DataFrame, keys: list[str], velocity: Column, disabled: DataFrame | None = None,
+    blocks: DataFrame | None = None, limits: dict[str, float] = LIMITS, moves: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Plateaus, points, curves and verdicts of all tests; ``blocks`` (keys, code) are gaps found before, ``moves`` those of :func:`move_plateaus`."""
     found = hold(plateaus(grid, keys, velocity, limits), "plateaus")
+    if moves is not None:
+        moved = move_plateaus(found, grid, moves, keys)
+        found = hold(described(moved.select(*keys, "plateau", "i_start", "i_end"), grid, keys), "moved")
     points = hold(convert(statistics(grid, found, keys), valves, keys, disabled, limits), "points")
     curves = hold(fit(points, keys, limits), "curves")
     missing = points.groupBy(*keys).agg(F.count_if(F.array_contains("codes", "property_missing")).alias("n_missing"))
     both = valves.select(*keys).join(missing, keys, "left").join(curves.select(*keys, "suspects", "checks_pass"), keys, "left")
     code = F.when(F.col("n_missing").isNull(), "no_plateau").when(F.col("checks_pass").isNull(), "insufficient_adopted_points").when(F.col("n_missing") > 0, "property_missing")
     if blocks is not None:
-        both = both.join(blocks.groupBy(*keys).agg(F.min("code").alias("__code")), keys, "left")
-        code = F.coalesce(F.col("__code"), code)
+        both = both.join(blocks.groupBy(*keys).agg(F.collect_set("code").alias("__codes")), keys, "left")
+        every = F.array_union(F.coalesce("__codes", F.array().cast("array<string>")), F.array_compact(F.array(code)))
+        code = F.when(F.size(every) > 0, F.array_join(F.array_sort(every), ","))
     verdict = F.when(code.isNotNull(), "no_conclusion").when((F.size("suspects") > 0) | ~F.col("checks_pass"), "suspect").otherwise("matches_nameplate")
     verdicts = both.select(*keys, code.alias("blocking"), F.coalesce(F.array_join("suspects", ","), F.lit("")).alias("suspects"), verdict.alias("verdict"))
     return {"plateaus": found, "points": points, "curves": curves, "verdicts": verdicts}

@@ -1,7 +1,8 @@
 """Gas seat leak: isolation order, segments, evidence gates, mass balance, exceedance, cross-check and verdict.
 
 ``grid`` has the keys, i, t, position, p_up, p_down and temp; ``tests`` per test
-volume_m3, z, ref_c, ref_kpa, sign (1 or -1) and blank (array of temp_c, pressure_kpa, rate).
+volume_m3, z, ref_c, ref_kpa, sign (1 or -1) and blank (array of temp_c, pressure_kpa, rate),
+and, where they differ from the defaults, the blank's temp_margin and pressure_margin.
 """
 
 from __future__ import annotations
@@ -77,12 +78,17 @@ def delineate(grid: DataFrame, derived: DataFrame, keys: list[str], limits: dict
     found = found.withColumn("hold", F.coalesce("declared", "calm")).withColumn("start", F.when(c("declared").isNotNull(), "declared").when(c("calm").isNotNull(), "calm"))
     points = {"i_iso": "iso.i", "t_iso": "iso.t", "i_hold": "hold.i", "t_hold": "hold.t", "t_stable": "hold.before", "i_end": "end.i", "t_end": "end.t"}
     found = found.select(*keys, "start", *(c(x).alias(n) for n, x in points.items()))
-    gaps = F.array_compact(F.array(
-        F.when(c("i_hold").isNull(), "stabilization_not_reached"),
+    gaps = _length_gaps(c("i_hold").isNull(), limits)
+    return found.select(*keys, "i_iso", "i_hold", "i_end", "t_iso", "t_hold", "t_end", "start", gaps.alias("gaps"))
+
+
+def _length_gaps(unsettled: Column, limits: dict[str, float]) -> Column:
+    c = F.col
+    return F.array_compact(F.array(
+        F.when(unsettled, "stabilization_not_reached"),
         F.when(c("t_stable") - c("t_iso") < limits["stabilise_s"], "stabilization_too_short"),
         F.when(c("t_end") - c("t_hold") < limits["hold_s"], "hold_too_short"),
     ))
-    return found.select(*keys, "i_iso", "i_hold", "i_end", "t_iso", "t_hold", "t_end", "start", gaps.alias("gaps"))
 
 
 def move_boundaries(segs: DataFrame, grid: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,10 +112,29 @@ def move_boundaries(segs: DataFrame, grid: DataFrame, moves: DataFrame, keys: li
     return both.drop("steps", "__s")
 
 
+def segments(grid: DataFrame, derived: DataFrame, keys: list[str], moves: DataFrame | None = None, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """:func:`delineate` with manual moves, and t_action, when the volume was closed by the record.
+
+    Times and lengths are those after the moves; a hold whose start could not
+    be found stays a gap wherever a move puts it.
+    """
+    c = F.col
+    found = delineate(grid, derived, keys, limits)
+    if moves is not None:
+        moved = move_boundaries(found, grid, moves, keys).drop("t_iso", "t_hold", "t_end")
+        rows = grid.select(*keys, "i", "t").join(moved, keys)
+        at = lambda i: F.max(F.when(c("i") == i, c("t")))
+        times = rows.groupBy(*keys).agg(at(c("i_iso")).alias("t_iso"), at(c("i_hold")).alias("t_hold"), at(c("i_end")).alias("t_end"), at(c("i_hold") - 1).alias("t_stable"))
+        gaps = _length_gaps(F.array_contains("gaps", "stabilization_not_reached"), limits)
+        found = moved.join(times, keys).withColumn("gaps", gaps).drop("t_stable")
+    return found.join(derived.select(*keys, c("t_downstream_isolated").alias("t_action")), keys)
+
+
 def hold_rows(grid: DataFrame, segs: DataFrame, tests: DataFrame, keys: list[str], limits: dict[str, float] = LIMITS) -> DataFrame:
     """All grid points from before the hold to its end with veq, net (blank-corrected signal), cumulative, rate, and in_hold."""
     c = F.col
-    rows = grid.join(segs.where("i_hold is not null").select(*keys, "i_hold", "i_end", "t_hold", "t_iso"), keys).join(tests, keys).where(c("i") <= c("i_end"))
+    closed = c("t_action" if "t_action" in segs.columns else "t_iso").alias("t_closed")
+    rows = grid.join(segs.where("i_hold is not null").select(*keys, "i_hold", "i_end", "t_hold", closed), keys).join(tests, keys).where(c("i") <= c("i_end"))
     rows = rows.withColumn("in_hold", c("i") >= c("i_hold"))
     whole = Window.partitionBy(*keys)
     inside = lambda name: F.when(c("in_hold"), c(name))
@@ -150,17 +175,18 @@ def gates(rows: DataFrame, keys: list[str], coverage: DataFrame, limits: dict[st
     """Per test the hold's evidence and the codes of what it lacks; ``coverage`` (keys, coverage) is that of the temperature."""
     c = F.col
     # The position at isolation is interpolated between the two grid points around it.
-    below, above = F.max_by("position", F.when(c("t") <= c("t_iso"), c("i"))), F.min_by("position", F.when(c("t") >= c("t_iso"), c("i")))
-    t0, t1 = F.max(F.when(c("t") <= c("t_iso"), c("t"))), F.min(F.when(c("t") >= c("t_iso"), c("t")))
-    at = F.when(t1 > t0, below + (above - below) * (F.first("t_iso") - t0) / (t1 - t0)).otherwise(F.coalesce(below, above))
+    below, above = F.max_by("position", F.when(c("t") <= c("t_closed"), c("i"))), F.min_by("position", F.when(c("t") >= c("t_closed"), c("i")))
+    t0, t1 = F.max(F.when(c("t") <= c("t_closed"), c("t"))), F.min(F.when(c("t") >= c("t_closed"), c("t")))
+    at = F.when(t1 > t0, below + (above - below) * (F.first("t_closed") - t0) / (t1 - t0)).otherwise(F.coalesce(below, above))
     inside = lambda x: F.when(c("in_hold"), x)
     dp = c("sign") * (c("p_up") - c("p_down"))
+    margins = [F.first(n).alias(n) for n in ("temp_margin", "pressure_margin") if n in rows.columns]
     found = rows.groupBy(*keys).agg(
         F.round(at, 3).alias("position_at_isolation"), F.max(inside(c("position"))).alias("position_max"), (F.max(inside(c("position"))) - F.min(inside(c("position")))).alias("position_drift"),
         F.round(F.median(inside(dp)), 2).alias("dp_median"), F.round(F.min(inside(dp)), 2).alias("dp_min"), F.min(inside(c("temp"))).alias("temp_lo"), F.max(inside(c("temp"))).alias("temp_hi"),
-        F.min(inside(c("p_down"))).alias("p_lo"), F.max(inside(c("p_down"))).alias("p_hi"), F.first("blank").alias("blank"),
+        F.min(inside(c("p_down"))).alias("p_lo"), F.max(inside(c("p_down"))).alias("p_hi"), F.first("blank").alias("blank"), *margins,
     ).join(coverage.select(*keys, "coverage"), keys, "left")
-    covered = curves.blank_covers(curves.blank_envelope(c("blank")), c("temp_lo"), c("temp_hi"), c("p_lo"), c("p_hi"))
+    covered = curves.blank_covers(curves.blank_envelope(c("blank"), *map(c, ("temp_margin", "pressure_margin") if margins else ())), c("temp_lo"), c("temp_hi"), c("p_lo"), c("p_hi"))
     unsteady = (c("position_at_isolation") > limits["closed_band"]) | (c("position_max") > limits["closed_band"]) | (c("position_drift") > limits["drift"])
     codes = F.array_compact(F.array(
         F.when(unsteady, "closed_position_unstable"), F.when(c("dp_median") < limits["min_dp_kpa"], "insufficient_differential_pressure"),
@@ -184,28 +210,61 @@ def exceed_periods(rows: DataFrame, keys: list[str], limit: float = LIMITS["rate
     return runs.periods_where(rows.where("in_hold"), keys, ["i"], F.col("rate") > limit, "t")
 
 
+def checks(found: DataFrame, keys: list[str], crossed: DataFrame | None = None, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """Balances (and ``crossed``, of :func:`cross_check`) against their limits: keys, metric, value, high, passes; a hold without mean rate fails."""
+    c = F.col
+    listed = [F.struct(F.lit(m).alias("metric"), c(v).cast("double").alias("value"), F.lit(limits[m]).alias("high")) for m, v in (("rate", "rate_mean"), ("cumulative", "cumulative"))]
+    rows = found.select(*keys, F.explode(F.array(*listed)).alias("x")).select(*keys, "x.*")
+    rows = rows.withColumn("passes", F.coalesce(c("value") <= c("high"), F.lit(False)))
+    if crossed is not None:
+        rows = rows.unionByName(crossed.select(*keys, F.lit("deviation_pct").alias("metric"), c("deviation").alias("value"), F.lit(limits["deviation_pct"]).alias("high"), c("agrees").alias("passes")))
+    return rows
+
+
 def analyse(
-    grid: DataFrame, actions: DataFrame, tests: DataFrame, coverage: DataFrame, keys: list[str],
+    grid: DataFrame, actions: DataFrame, tests: DataFrame, coverage: DataFrame | None, keys: list[str],
     flow: DataFrame | None = None, moves: DataFrame | None = None, limits: dict[str, float] = LIMITS,
+    blocks: DataFrame | None = None, temperature: DataFrame | None = None, meter: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Segments, balances, gates and verdicts of all tests: gaps first, then failed checks and issues."""
+    """Segments, balances, gates, exceedances, checks and verdicts of all tests: gaps first, then failed checks and issues.
+
+    The temperature's coverage of the hold and the metered flow at its grid
+    points are given (``coverage``, ``flow``) or taken from the samples
+    (``temperature``, ``meter``: keys, idx, t, v).  ``blocks`` (keys, code) are
+    gaps found before.
+    """
     c = F.col
     derived = isolation(actions, keys)
-    segs = delineate(grid, derived, keys, limits)
-    if moves is not None:
-        segs = move_boundaries(segs, grid, moves, keys)
-    segs = hold(segs, "segments")
+    segs = hold(segments(grid, derived, keys, moves, limits), "segments")
     rows = hold(hold_rows(grid, segs, tests, keys, limits), "rows")
+
+    def covered(samples: DataFrame) -> DataFrame:
+        held = samples.join(segs.where("i_hold is not null").select(*keys, "t_hold", "t_end"), keys)
+        return interp.coverage(held, keys, c("t_hold"), c("t_end")).select(*keys, "coverage")
+
+    if temperature is not None:
+        coverage = covered(temperature)
+    if meter is not None:
+        metered = interp.linear(rows.where("in_hold").select(*keys, "t"), meter, keys, clamp=False)
+        flow = metered.join(covered(meter), keys)
     found, evidence = hold(balance(rows, keys), "balance"), gates(rows, keys, coverage, limits)
+    crossed = None if flow is None else cross_check(flow, found, keys, limits)
     both = tests.select(*keys).join(derived.select(*keys, "conflicts"), keys, "left").join(segs.select(*keys, c("gaps").alias("g1")), keys, "left")
     both = both.join(evidence.select(*keys, c("gaps").alias("g2")), keys, "left").join(found, keys, "left")
     empty = F.array().cast("array<string>")
     early = F.array_compact(F.array(F.when(c("conflicts") > 0, "isolation_sequence_conflict"), F.when(c("g1").isNull(), "not_isolated")))
-    gaps = F.array_sort(F.array_distinct(F.concat(early, F.coalesce("g1", empty), F.coalesce("g2", empty))))
+    told = F.concat(early, F.coalesce("g1", empty), F.coalesce("g2", empty))
+    if blocks is not None:
+        both = both.join(blocks.groupBy(*keys).agg(F.collect_set("code").alias("g3")), keys, "left")
+        told = F.concat(told, F.coalesce("g3", empty))
+    gaps = F.array_sort(F.array_distinct(told))
     failed = c("rate_mean").isNull() | (c("rate_mean") > limits["rate"]) | (c("cumulative") > limits["cumulative"])
-    if flow is not None:
-        both = both.join(cross_check(flow, found, keys, limits).select(*keys, "agrees"), keys, "left")
+    if crossed is not None:
+        both = both.join(crossed.select(*keys, "agrees"), keys, "left")
         failed = failed | F.coalesce(~c("agrees"), F.lit(False))
     verdict = F.when(F.size(gaps) > 0, "no_conclusion").when(failed, "fail").otherwise("pass")
     verdicts = both.select(*keys, F.array_join(gaps, ",").alias("gaps"), "rate_mean", "cumulative", verdict.alias("verdict"))
-    return {"segments": segs, "balance": found, "gates": evidence, "verdicts": verdicts}
+    return {
+        "segments": segs, "balance": found, "gates": evidence, "exceedances": first_exceedance(rows, keys, limits), "periods": exceed_periods(rows, keys, limits["rate"]),
+        "checks": checks(found, keys, crossed, limits), "verdicts": verdicts,
+    }

@@ -39,7 +39,7 @@ FIELDS = {
     "failsafe": {"fail_mode": ("$.fail_mode", "string"), "observation_window_s": ("$.observation_window_s", "double"), "acting": ("$.conditions.actuator_type", "string")},
     "seatleak": {
         "flow_direction": ("$.flow_direction", "string"), "gas": ("$.gas", "struct<name:string,molar_mass_g_mol:double,compressibility_z:double,reference_temp_c:double,reference_pressure_kpa:double>"),
-        "closed_volume": ("$.closed_volume", "map<string,variant>"), "isolation": ("$.isolation", "array<struct<t:double,action:string,note:string>>"),
+        "closed_volume": ("$.closed_volume", "struct<downstream_volume_m3:double,uncertainty_pct:double>"), "isolation": ("$.isolation", "array<struct<t:double,action:string,note:string>>"),
         "blank_baseline": ("$.blank_baseline", "struct<points:array<struct<temp_c:double,pressure_kpa:double,recovery_rate_kpa_min:double>>,temp_margin_c:double,pressure_margin_kpa:double>"),
     },
     "stemthrust": {
@@ -47,7 +47,7 @@ FIELDS = {
         "spring": ("$.actuator.spring", f"struct<version:string,action:string,force_unit:string,points:{_CURVE}>"),
     },
     "flowcurve": {
-        "fluid": ("$.fluid", "struct<name:string,vapor_pressure_kpa:double,critical_pressure_kpa:double,density_ref_temp_c:double>"),
+        "fluid": ("$.fluid", "struct<name:string,density_kg_m3:double,vapor_pressure_kpa:double,critical_pressure_kpa:double,density_ref_temp_c:double>"),
         "valve": ("$.valve", "struct<rated_cv:double,size_dn_mm:double,trim:string,characteristic:string,liquid_recovery_factor_fl:double,equal_percentage_r:double>"),
         "meter": ("$.meter", "struct<full_scale:double,unit:string>"), "atmospheric_pressure_kpa": ("$.atmospheric_pressure_kpa", "double"), "flow_direction": ("$.flow_direction", "string"),
     },
@@ -73,6 +73,8 @@ CHANNELS = {
     "flowcurve": ["position", "flow", "upstream_pressure", "downstream_pressure", "temperature"], "limitswitch": ["position", "open", "closed"],
     "partialstroke": ["permit", "abort", "command", "position", "pressure", "pv"], "airsupply": [],
 }
+#: Channels that a record of a kind may have besides.
+OPTIONAL = {"seatleak": ["flow"], "stemthrust": ["chamber_a_pressure", "chamber_b_pressure"]}
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +97,8 @@ def parse(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     need = F.create_map(*[x for k, channels in CHANNELS.items() for x in (F.lit(k), F.array(*map(F.lit, channels)).cast("array<string>"))])
     asked = F.try_element_at(need, c("kind"))
     lacking = F.filter(asked, lambda x: F.coalesce(F.size(F.try_element_at("series", x)["points"]), F.lit(0)) <= 0)
-    broken = F.filter(asked, lambda x: F.exists(F.try_element_at("series", x)["points"], lambda p: F.coalesce((F.size(p) != 2) | F.get(p, 0).isNull() | F.get(p, 1).isNull(), F.lit(True))))
+    may = F.create_map(*[x for k in CHANNELS for x in (F.lit(k), F.array(*map(F.lit, OPTIONAL.get(k, []))).cast("array<string>"))])
+    broken = F.filter(F.concat(asked, F.try_element_at(may, c("kind"))), lambda x: F.exists(F.try_element_at("series", x)["points"], lambda p: F.coalesce((F.size(p) != 2) | F.get(p, 0).isNull() | F.get(p, 1).isNull(), F.lit(True))))
     reason = (
         F.when(c("payload").isNull(), "not_json")
         .when(~F.startswith(F.schema_of_variant("payload"), F.lit("OBJECT")), "no_object")
