@@ -53,32 +53,49 @@ def _stratum(size: Column) -> Column:
     return F.length(F.bin(size))
 
 
+def _weighed(sums: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """``sums`` with each source's weight by its place in code-point order.
+
+    Ranges of names are written with their number; only the count of each range
+    comes to the driver, and places are counted inside a range.
+    """
+    name = F.col("source").asc_nulls_last()
+    ranged = materialise(sums.repartitionByRange(name).withColumn("range", F.spark_partition_id()), "sources")
+    counts = sorted((r["range"], r["count"]) for r in ranged.groupBy("range").count().toLocalIterator())
+    starts, so_far = [], 0
+    for number, n in counts:
+        starts.append((number, so_far))
+        so_far += n
+    # One row per range, as many as shuffle partitions at most.
+    first = sums.sparkSession.createDataFrame(starts, "range int, first long")
+    place = F.col("first") + F.row_number().over(Window.partitionBy("range").orderBy(name)) - 1
+    cycle = F.array(*[F.lit(w) for w in weights])
+    rows = ranged.join(F.broadcast(first), "range")
+    return rows.withColumn("weight", F.element_at(cycle, (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))).drop("range", "first")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row per source: source, n_docs, source_size, target.
 
-    A source is capped when the level of words per weight, after all sources
-    with a lower cap per weight have given their cap, still lies above its own.
-    The windows run over one row per source.
+    All sources begin at one level of words per weight.  Those whose cap lies
+    below it give their cap, and the rest raise the level for the others, until
+    a round finds no more of them.  A round is one aggregate over the sources;
+    nothing sorts or holds them in one task.
     """
     sums = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    at = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
-    weighed = sums.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (at + 1).cast("int")))
-    ordered = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    filled = (
-        weighed.withColumn("all_size", F.sum("source_size").over(whole))
-        .withColumn("capped_size", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("open_weight", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("level", (F.lit(share) * F.col("all_size") - F.lit(most) * F.col("capped_size")) / F.col("open_weight"))
-        .withColumn("capped", F.lit(most) * F.col("source_size") < F.col("level") * F.col("weight"))
-    )
-    level = F.first(F.when(~F.col("capped"), F.col("level")), ignorenulls=True).over(
-        ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    target = F.when(F.col("capped"), F.lit(float(most)) * F.col("source_size")).otherwise(F.col("weight") * level)
-    return filled.select("source", "n_docs", "source_size", target.alias("target"))
+    weighed = materialise(_weighed(sums, weights), "weighed")
+    whole = weighed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    known, level = 0, 0.0
+    if whole["weight"]:
+        level = share * whole["size"] / whole["weight"]
+    while True:
+        under = weighed.where(F.lit(most) * F.col("source_size") < F.lit(level) * F.col("weight"))
+        capped = under.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+        if capped["n"] <= known or capped["weight"] == whole["weight"]:
+            break
+        known, level = capped["n"], (share * whole["size"] - most * capped["size"]) / (whole["weight"] - capped["weight"])
+    target = F.least(F.lit(float(most)) * F.col("source_size"), F.lit(float(level)) * F.col("weight"))
+    return weighed.select("source", "n_docs", "source_size", target.alias("target"))
 
 
 def _coins(docs: DataFrame) -> DataFrame:

@@ -335,3 +335,23 @@ def test_drop_copies_keeps_the_first(docs):
     for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or ""), r["doc_id"])
     assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(docs).collect()) == sorted(first.values())
+
+
+def test_levels_of_many_sources(spark):
+    """Targets of thousands of sources, sizes over nine powers of ten, against filling one source after the other."""
+    sizes = {None if k == 7 else f"s{k * 7919 % 5003:05d}": int(10 ** (k * 37 % 900 / 100)) if k % 50 else 0 for k in range(3000)}
+    rows = [(s, size // 2 + j * (size % 2)) for s, size in sizes.items() for j in (0, 1)]
+    got = {r["source"]: r for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long").repartition(7)).collect()}
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    left, open_weight, target = 1.5 * sum(sizes.values()), sum(weight.values()), {}
+    for s in sorted(names, key=lambda s: sizes[s] / weight[s]):
+        target[s] = min(2.0 * sizes[s], left / open_weight * weight[s])
+        left, open_weight = left - target[s], open_weight - weight[s]
+    assert len(got) == 3000
+    for s in names:
+        assert got[s]["source_size"] == sizes[s] and got[s]["target"] == pytest.approx(target[s], rel=1e-9), s
+    same = mixing.source_targets(spark.createDataFrame([("a", 0), ("b", 0)], "source string, size long"))
+    assert [r["target"] for r in same.collect()] == [0.0, 0.0]
+    tripled = mixing.source_targets(spark.createDataFrame([("a", 4), ("b", 8)], "source string, size long"), share=3.0)
+    assert sorted(r["target"] for r in tripled.collect()) == [8.0, 16.0]
