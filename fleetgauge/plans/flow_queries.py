@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import flowcurve
-from fleetgauge.plans.registry import query, table
+from fleetgauge.plans.registry import query, sampled, table
 
 KEYS = ["test_id"]
 STEP_S = 0.5
@@ -28,7 +28,7 @@ def valves(spark, sf_dir):
 def grid(spark, sf_dir):
     """(test_id, i, t, position, flow, p1, p2, temperature)."""
     n, key, i = F.col("c_nationkey"), F.col("c_custkey"), F.col("i")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
+    rows = sampled(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", 256)
     level, inside = F.floor(i / 32), i % 32
     step = F.when(inside >= 16, 1.0).otherwise(0.0) * F.when((key % 5 == 0) & (level == 2), 1.2).when((key % 7 == 0) & (level == 4), 3.0).otherwise(0.0)
     rows = rows.withColumn("position", (level + 1) * 10.0 + F.greatest(inside - 27, F.lit(0)) * 2.0 + F.when(inside < 28, step).otherwise(0.0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import seatleak
-from fleetgauge.plans.registry import query, table
+from fleetgauge.plans.registry import query, sampled, table
 
 KEYS = ["test_id"]
 
@@ -27,7 +27,7 @@ def tests(spark, sf_dir):
 def grid(spark, sf_dir):
     """(test_id, i, t, position, p_up, p_down, temp)."""
     k, n, i = F.col("c_custkey"), F.col("c_nationkey"), F.col("i")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(189))).alias("i"))
+    rows = sampled(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", 190)
     temp = 20.0 + 40.0 / (i + 10) + F.when(n % 6 == 5, i * 0.02).otherwise(0.0)
     leak = F.greatest(i - 20, F.lit(0)) * (n * 0.02) / 60.0 * F.when((n == 20) & (i > 120), 3.0).otherwise(1.0)
     position = F.when(n == 8, 3.0).otherwise(0.5) + F.when((n == 9) & (i > 150), 0.8).otherwise(0.0) + k % 3 * 0.01

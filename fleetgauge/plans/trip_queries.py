@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import failsafe
-from fleetgauge.plans.registry import query, table
+from fleetgauge.plans.registry import query, sampled, table
 
 KEYS = ["test_id"]
 STEP_S = 0.1
@@ -26,7 +26,7 @@ def trips(spark, sf_dir):
 def grid(spark, sf_dir):
     """(test_id, i, t, position, pressure)."""
     z, i = F.col("p_size"), F.col("i")
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(270))).alias("i"))
+    rows = sampled(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", 271)
     ran = F.greatest(i - 50 - z % 7 * 3, F.lit(0))
     ran = F.when(z % 5 == 0, F.least(ran, F.greatest(F.lit(10), ran - 12))).otherwise(ran)
     gone = F.least(ran * 2.0, F.when(z % 17 == 9, 40.0).otherwise(50.0))
@@ -131,7 +131,7 @@ def trip_verdicts(spark, sf_dir):
 def samples(spark, sf_dir):
     """Commands of every test: 60 %, lost by half a second before the trip for some."""
     z, i = F.col("p_size"), F.col("i")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("i"))
+    part = sampled(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", 60)
     lost = F.when((i >= 46 + z % 6) & (z % 2 == 0), 20.0).otherwise(60.0 + i % 3)
     return part.select(F.col("p_partkey").alias("test_id"), i.alias("idx"), (i / 10.0).alias("t"), lost.alias("v"))
 
@@ -147,7 +147,7 @@ def trip_command_loss(spark, sf_dir):
 def bits(spark, sf_dir):
     """Trip contacts: one pulse, some chatter, some come again."""
     z, i = F.col("p_size"), F.col("i")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("i"))
+    part = sampled(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", 200)
     on = i.between(50, 120) & ~((z % 3 == 0) & (i == 53)) & ~((z % 5 == 0) & i.between(80, 90))
     return part.select(F.col("p_partkey").alias("test_id"), i.alias("idx"), (i / 10.0).alias("t"), on.cast("int").alias("bit"))
 
