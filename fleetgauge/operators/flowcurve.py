@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +44,7 @@ def joined(stretches: list[tuple[int, int]], t: list[float], v: list[float], gap
     """Neighbouring stretches become one while they lie within ``gap_s`` and their upper medians within ``near``.
 
     Going from left to right, a stretch is compared with the one before again
-    whenever either has grown.
+    whenever either has grown.  The definition of :func:`merged`, of one record.
     """
 
     def middle(a: int, b: int) -> float:
@@ -61,39 +60,84 @@ def joined(stretches: list[tuple[int, int]], t: list[float], v: list[float], gap
     return done
 
 
+def merged(stretches: Column, t: Column, v: Column, gap_s: float, near: float) -> Column:
+    """:func:`joined` as a column.
+
+    ``stretches`` is an array of first and last places (a, b) in the arrays
+    ``t`` and ``v``, from left to right; given back are (a, b, m) with the
+    median.
+    """
+
+    def found(a: Column, b: Column) -> Column:
+        inside = F.array_sort(F.slice(v, a + 1, b - a + 1))
+        return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.get(inside, F.floor(F.size(inside) / 2).cast("int")).cast("double").alias("m"))
+
+    def once(done: Column) -> Column:
+        n = F.size(done)
+        last, before = F.get(done, n - 1), F.get(done, n - 2)
+        close = (n > 1) & (F.get(t, last["a"]) - F.get(t, before["b"]) <= gap_s) & (F.abs(before["m"] - last["m"]) <= near)
+        return F.when(close, F.concat(F.slice(done, 1, F.greatest(n - 2, F.lit(0))), F.array(found(before["a"], last["b"])))).otherwise(done)
+
+    def take(done: Column, nxt: Column) -> Column:
+        # As many comparisons as there are stretches before: each but the last one joins two.
+        return F.aggregate(done, F.concat(done, F.array(found(nxt["a"], nxt["b"]))), lambda s, _: once(s))
+
+    return F.aggregate(stretches, F.array().cast("array<struct<a:int,b:int,m:double>>"), take)
+
+
 def plateaus(grid: DataFrame, keys: list[str], velocity: Column, limits: dict[str, float] = LIMITS) -> DataFrame:
     """Plateaus of the position: keys, plateau, i_start, i_end, t_start, t_end, position, direction.
 
-    Merging depends on the medians of what is merged already, so it is a
-    grouped map over one test's grid; the rest are windows.
+    Merging depends on the medians of what is merged already, so it is a fold
+    over the array of one test's stretches, with the test's points beside it.
     """
-    stretches = steady_runs(grid, keys, velocity, limits)
-    starts = stretches.select(*keys, F.col("i_start").alias("i"), F.col("i_end"))
-    rows = grid.select(*keys, "i", "t", "position").join(starts, [*keys, "i"], "left")
-    kinds = ", ".join(f"{k} {grid.schema[k].dataType.simpleString()}" for k in keys)
+    c = F.col
+    flagged = grid.select(*keys, "i", "t", "position", velocity.alias("__v")).withColumn("__still", F.coalesce(F.abs("__v") <= limits["slope_pct_s"], F.lit(False)))
+    marked = runs.mark_runs(flagged, keys, ["i"], c("__still"))
+    points = F.array_sort(F.collect_list(F.struct("i", "t", "position")))
+    each = marked.groupBy(*keys, "run").agg(F.first("__still").alias("still"), points.alias("points"))
+    whole = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("run", "still", "points"))).alias("runs"))
+    whole = whole.withColumn("p", F.flatten("runs.points")).withColumn("first", F.get("p", F.lit(0))["i"])
+
+    def ends(r: Column) -> Column:
+        a, b = F.get(r["points"], F.lit(0)), F.get(r["points"], F.size(r["points"]) - 1)
+        long = r["still"] & (b["t"] - a["t"] >= limits["min_duration_s"])
+        return F.when(long, F.struct((a["i"] - c("first")).cast("int").alias("a"), (b["i"] - c("first")).cast("int").alias("b")))
+
+    whole = whole.select(*keys, "p", c("p.t").alias("t"), c("p.position").alias("v"), F.array_compact(F.transform("runs", ends)).alias("stretches"))
+    found = whole.withColumn("found", merged(c("stretches"), c("t"), c("v"), limits["merge_gap_s"], limits["merge_position_pct"]))
+    found = found.select(*keys, "p", F.posexplode("found").alias("plateau", "x"))
+    a, b = F.get("p", c("x.a")), F.get("p", c("x.b"))
+    found = found.select(*keys, "plateau", a["i"].cast("long").alias("i_start"), b["i"].cast("long").alias("i_end"), F.round(a["t"], 6).alias("t_start"), F.round(b["t"], 6).alias("t_end"), F.round("x.m", 4).alias("position"))
+    return directed(found, keys)
+
+
+def directed(found: DataFrame, keys: list[str]) -> DataFrame:
+    """``found`` with whether the positions rise to the next plateau (from the one before, at the last)."""
+    along = Window.partitionBy(*keys).orderBy("plateau")
+    after, before = F.lead("position").over(along), F.lag("position").over(along)
+    rises = F.coalesce(after >= F.col("position"), F.col("position") >= before, F.lit(True))
+    return found.withColumn("direction", F.when(rises, "ascending").otherwise("descending"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i").reset_index(drop=True)
-        first = int(pdf["i"].iloc[0])
-        known = pdf[pdf["i_end"].notna()]
-        found = joined([(int(a) - first, int(b) - first) for a, b in zip(known["i"], known["i_end"], strict=True)], pdf["t"].tolist(), pdf["position"].tolist(), limits["merge_gap_s"], limits["merge_position_pct"])
-        out = pd.DataFrame([(k, a + first, b + first) for k, (a, b) in enumerate(found)], columns=["plateau", "i_start", "i_end"])
-        for k, name in enumerate(keys):
-            out.insert(k, name, pdf[name].iloc[0])
-        return out
 
-    merged = rows.groupBy(*keys).applyInPandas(run, f"{kinds}, plateau int, i_start long, i_end long")
-    return described(merged, grid, keys)
+def inside(grid: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Grid points that lie in a stretch (keys, i_start, i_end, ...; apart from each other), with its columns.
+
+    Starts lie among the points, so one shuffle by test does for both and no
+    stretch is written out point by point.
+    """
+    starts = found.select(*keys, F.col("i_start").cast(grid.schema["i"].dataType).alias("i"), F.struct(*[n for n in found.columns if n not in keys]).alias("__s"))
+    rows = grid.withColumn("__point", F.lit(1)).unionByName(starts.withColumn("__point", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys).orderBy("i", "__point").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__s", F.last("__s", ignorenulls=True).over(so_far)).where("__point = 1 and i <= __s.i_end")
+    return rows.select(*grid.columns, "__s.*")
 
 
 def described(found: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
     """Stretches (keys, plateau, i_start, i_end) with their times, position and direction."""
-    points = found.withColumn("i", F.explode(F.sequence("i_start", "i_end"))).join(grid.select(*keys, "i", "t", "position"), [*keys, "i"])
+    points = inside(grid.select(*keys, "i", "t", "position"), found.select(*keys, "plateau", "i_start", "i_end"), keys)
     found = points.groupBy(*keys, "plateau", "i_start", "i_end").agg(F.round(F.min("t"), 6).alias("t_start"), F.round(F.max("t"), 6).alias("t_end"), F.round(stats.upper_median("position"), 4).alias("position"))
-    along = Window.partitionBy(*keys).orderBy("plateau")
-    after, before = F.lead("position").over(along), F.lag("position").over(along)
-    rises = F.coalesce(after >= F.col("position"), F.col("position") >= before, F.lit(True))
-    return found.withColumn("direction", F.when(rises, "ascending").otherwise("descending"))
+    return directed(found, keys)
 
 
 def move_plateaus(found: DataFrame, grid: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,8 +156,7 @@ def move_plateaus(found: DataFrame, grid: DataFrame, moves: DataFrame, keys: lis
 
 def statistics(grid: DataFrame, found: DataFrame, keys: list[str], settle_s: float = 0.5) -> DataFrame:
     """Per plateau: medians, spread of the position, and the flow's variation from ``settle_s`` after the start on."""
-    listed = found.select(*keys, "plateau", "i_end", "t_start", "t_end", "direction", F.explode(F.sequence("i_start", "i_end")).alias("i"))
-    points = listed.join(grid, [*keys, "i"])
+    points = inside(grid, found.select(*keys, "plateau", "i_start", "i_end", "t_start", "t_end", "direction"), keys)
     late = (F.col("t") >= F.col("t_start") + settle_s) | (F.col("i") == F.col("i_end"))
 
     def middle(name: str, digits: int) -> Column:
@@ -217,7 +260,8 @@ def analyse(
     blocks: DataFrame | None = None, limits: dict[str, float] = LIMITS, moves: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Plateaus, points, curves and verdicts of all tests; ``blocks`` (keys, code) are gaps found before, ``moves`` those of :func:`move_plateaus`."""
-    found = hold(plateaus(grid, keys, velocity, limits), "plateaus")
+    # Not held: made anew they lie where their test's points do, read back they would have all points shuffled to them.
+    found = plateaus(grid, keys, velocity, limits)
     if moves is not None:
         moved = move_plateaus(found, grid, moves, keys)
         found = hold(described(moved.select(*keys, "plateau", "i_start", "i_end"), grid, keys), "moved")

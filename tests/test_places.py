@@ -2,10 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import units
 from fleetgauge.plans import catalog, chain_queries, stroke_records
+from fleetgauge.sources.held import hold, release
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +39,18 @@ def test_conversion_is_that_of_every_sample(spark):
 
 def test_certificates_are_known_to_be_small(spark):
     assert int(str(chain_queries._certificates(spark)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10_000
+
+
+@pytest.mark.parametrize("name", ["flow_plateaus", "flow_points", "stroke_overshoot"])
+def test_stretches_are_not_written_out_to_meet_points(spark, name):
+    plan = plan_of(catalog.QUERIES[name](spark, SF))
+    assert "FlatMapGroups" not in plan and "explode(sequence" not in plan
+    assert not re.search(r"hashpartitioning\(test_id#\d+L, (i|__slice)#", plan)
+
+
+def test_held_tables_are_not_broadcast(spark):
+    rows = hold(spark.range(1000).selectExpr("id as test_id", "id % 7 as v"), "few")
+    many = rows.select("test_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    plan = plan_of(many.join(rows, "test_id"))
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    release(spark)
