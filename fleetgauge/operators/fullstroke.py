@@ -193,10 +193,16 @@ def hysteresis(rows: DataFrame, keys: list[str], settle_band: float = LIMITS["se
 
 
 def overshoot(grid: DataFrame, segs: DataFrame, keys: list[str], settle_s: float = 2.0) -> DataFrame:
-    """Per motion segment how far the position passes the target, up to ``settle_s`` after the segment."""
-    motion = segs.where(F.col("type") != "dwell").select(*keys, "seg", "type", "target", "t_start", (F.col("t_end") + settle_s).alias("t_stop"))
-    both = intervals.points_within(grid.select(*keys, "t", "position"), motion, keys, "t", "t_start", "t_stop")
-    found = both.groupBy(*keys, "seg").agg(F.first("type").alias("type"), F.first("target").alias("target"), F.max("position").alias("high"), F.min("position").alias("low"))
+    """Per motion segment how far the position passes the target, up to ``settle_s`` after the segment.
+
+    ``grid`` may be that of :func:`in_segments` already.
+    """
+    rows = grid if "own" in grid.columns else in_segments(grid, segs, keys)
+    # What each point sees ahead, taken over a segment's points, is all up to ``settle_s`` after its last one: no join.
+    rows = rows.select(*keys, "seg", "type", "target", "position", F.round(F.col("t") * 1e6).cast("long").alias("__us"))
+    ahead = Window.partitionBy(*keys).orderBy("__us").rangeBetween(0, round(settle_s * 1e6))
+    rows = rows.withColumn("__high", F.max("position").over(ahead)).withColumn("__low", F.min("position").over(ahead)).where(F.col("type") != "dwell")
+    found = rows.groupBy(*keys, "seg").agg(F.first("type").alias("type"), F.first("target").alias("target"), F.max("__high").alias("high"), F.min("__low").alias("low"))
     past = F.when(F.col("type") == "opening", F.col("high") - F.col("target")).otherwise(F.col("target") - F.col("low"))
     return found.select(*keys, "seg", "type", "target", F.round(F.greatest(F.lit(0.0), past), 3).alias("overshoot"))
 
@@ -275,7 +281,7 @@ def metrics(grid: DataFrame, rows: DataFrame, segs: DataFrame, keys: list[str],
     for part in (
         worst(deadband(rows, segs, keys), "deadband", "deadband"),
         worst(hysteresis(rows, keys, band), "hysteresis", "hysteresis"),
-        worst(overshoot(grid, segs, keys), "overshoot", "overshoot"),
+        worst(overshoot(rows, segs, keys), "overshoot", "overshoot"),
         worst(steady_state(rows, keys), "max_deviation", "steady_state"),
     ):
         found = found.unionByName(part)
