@@ -274,6 +274,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, d
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def linked_texts(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
+    """(a, b) of text hashes: each text of a component of several and the least of them."""
+    rows = materialise(_components_of(docs, width, radius, dense).select("root", "raw_hash").distinct(), "texts")
+    least = rows.groupBy("root").agg(F.min("raw_hash").alias("b"), F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1")
+    found = hot_join(rows, least, "root", "n_texts", rows.count())
+    return found.select(F.col("raw_hash").alias("a"), "b").where("a <> b")
+
+
 def keep_representatives(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """The documents of which one per component stays: the one with the smallest id.
 

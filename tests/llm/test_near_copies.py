@@ -6,7 +6,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from fleetgauge.llm import near_copies
+from fleetgauge.llm import near_copies, simhash
+from fleetgauge.llm.simhash_kernel import fingerprint
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,3 +76,29 @@ def test_rows_without_ids(spark):
     rows = [(None, text), (None, text + " x"), (None, text + " x"), (7, "a"), (None, "a"), (8, "a"), (9, None), (10, " ")]
     got = [r["doc_id"] for r in near_copies.keep_one(documents(spark, rows)).collect()]
     assert sorted(got, key=str) == [7, 9, None]
+
+
+def test_fingerprints_link_and_sets_check(spark, monkeypatch):
+    rng = random.Random(1)
+
+    def linked(changes):
+        while True:
+            base = [f"{rng.choice('abcdef')}{rng.randint(0, 10**6)}" for _ in range(104)]
+            other = list(base)
+            for k in changes:
+                other[k] = f"y{rng.randint(0, 10**6)}"
+            a, b = " ".join(base), " ".join(other)
+            if (fingerprint(a.encode(), 4) ^ fingerprint(b.encode(), 4)).bit_count() <= 4:
+                return a, b
+
+    rows = list(enumerate([*linked([40]), *linked([15, 40, 65, 90]), " ".join(f"z{k}" for k in range(50))]))
+    docs = documents(spark, rows)
+    found = simhash.linked_texts(docs).cache()
+    assert found.count() == 2  # the second pair has too few common shingles
+    hashes = {r["h"]: r["doc_id"] for r in docs.selectExpr("doc_id", "xxhash64(text) as h").collect()}
+    assert sorted(sorted((hashes[r["a"]], hashes[r["b"]])) for r in found.collect()) == [[0, 1], [2, 3]]
+    asked = []
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, sets, whole=near_copies.verified: asked.append(pairs.count()) or whole(pairs, sets))
+    got = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert {r["doc_id"] for r in got.collect()} == first_ids(rows) == {0, 2, 3, 4}
+    assert asked[0] == 2  # the exact check was given what the fingerprints link
