@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.operators import flowcurve
 from fleetgauge.plans.registry import query, sampled, table
+from fleetgauge.sources.held import hold
 
 KEYS = ["test_id"]
 STEP_S = 0.5
@@ -118,7 +119,8 @@ cs AS (SELECT *, list_filter([CASE WHEN rmse_pct <= 15 AND capacity_factor < 0.8
   inversions, round(turndown, 1) AS turndown, rho, monotonic, array_to_string(sus, ',') AS suspects, checks_pass FROM cs""")
 def flow_curves(spark, sf_dir):
     """Fitted characteristic of every test, its residuals and suspects."""
-    c = flowcurve.fit(points(spark, sf_dir), KEYS)
+    # A fit reads its points four times, and they are few: eight of 256 samples.
+    c = flowcurve.fit(hold(points(spark, sf_dir), "points"), KEYS)
     return c.select(
         "test_id", "n_adopted", F.round("capacity_factor", 3).alias("capacity_factor"), F.round("rmse_pct", 1).alias("rmse_pct"), (F.round("residual_low", 1) + 0.0).alias("residual_low"), (F.round("residual_high", 1) + 0.0).alias("residual_high"),
         "inversions", F.round("turndown", 1).alias("turndown"), "rho", "monotonic", F.array_join("suspects", ",").alias("suspects"), "checks_pass",

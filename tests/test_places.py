@@ -54,3 +54,9 @@ def test_held_tables_are_not_broadcast(spark):
     plan = plan_of(many.join(rows, "test_id"))
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     release(spark)
+
+
+def test_fit_reads_points_made_once(spark):
+    plan = plan_of(catalog.QUERIES["flow_curves"](spark, SF))
+    assert "Range (0, 256" not in plan and "points-" in plan
+    release(spark)
