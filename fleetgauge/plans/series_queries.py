@@ -201,13 +201,13 @@ SELECT test_id, channel, round(al - bh, 6) AS low, round(ah - bl, 6) AS high,
 def interval_difference(spark, sf_dir):
     """Interval before day 15 less the interval after it."""
     s = samples(spark, sf_dir).withColumn("part", F.when(F.col("t") < 15 * DAY, "pre").otherwise("post"))
-    each = s.groupBy(*KEYS, "part").agg(stats.interval("v", 0.5).alias("x"))
+    each = s.groupBy(*KEYS, "part").agg(stats.fused_interval("v", 0.5).alias("x"))
     pre = each.where("part = 'pre'").select(*KEYS, F.col("x").alias("a"))
     post = each.where("part = 'post'").select(*KEYS, F.col("x").alias("b"))
     both = pre.join(post, KEYS)
     bounds = [F.get(side, F.lit(k)) for side in ("a", "b") for k in (0, 1)]
     low, high, change = verdicts.difference(*bounds)
-    return both.select(*KEYS, F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), change.alias("change"))
+    return both.select(*KEYS, stats.signed_round(low, 6).alias("low"), stats.signed_round(high, 6).alias("high"), change.alias("change"))
 
 
 TREND_SQL = f"""{SAMPLES_SQL},
