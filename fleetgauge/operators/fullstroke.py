@@ -179,15 +179,21 @@ def merged_branches(rows: DataFrame, keys: list[str], settle_band: float = LIMIT
 
 def hysteresis(rows: DataFrame, keys: list[str], settle_band: float = LIMITS["settle_band"], step: float = 1.0) -> DataFrame:
     """Per test the largest gap between the branches at one command, and the first command where it is; no row where they don't overlap."""
-    branches = merged_branches(rows, keys, settle_band)
-    each = branches.groupBy(*keys, "type").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    span = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("low").alias("low"), F.min("high").alias("high")).where("n = 2 and high > low")
-    last = F.greatest(F.lit(1), F.floor((F.col("high") - F.col("low")) / step)).cast("int")
-    points = span.withColumn("last", last).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    at = F.col("low") + (F.col("high") - F.col("low")) * F.col("k") / F.col("last")
-    asked = points.select(*keys, F.explode(F.array(*[F.lit(x) for x in MOTION])).alias("type"), at.alias("t"), "k")
-    known = branches.select(*keys, "type", F.col("x").alias("t"), F.col("y").alias("v"), F.lit(0).alias("idx"))
-    found = interp.linear(asked, known, [*keys, "type"]).groupBy(*keys, "k").agg(F.max("t").alias("x"), (F.max("v") - F.min("v")).alias("gap"))
+    c = F.col
+    along, test = Window.partitionBy(*keys, "type").orderBy("x"), Window.partitionBy(*keys)
+    of = Window.partitionBy(*keys, "type")
+    pieces = merged_branches(rows, keys, settle_band).withColumn("x1", F.lead("x").over(along)).withColumn("y1", F.lead("y").over(along))
+    pieces = pieces.withColumn("low", F.min("x").over(of)).withColumn("high", F.max("x").over(of))
+    pieces = pieces.withColumn("both", F.min("type").over(test) < F.max("type").over(test)).withColumn("low", F.max("low").over(test)).withColumn("high", F.min("high").over(test))
+    pieces = pieces.where(c("both") & (c("high") > c("low"))).withColumn("last", F.greatest(F.lit(1), F.floor((c("high") - c("low")) / step)).cast("int"))
+    # Each piece of a branch makes the points on it: no branch is made twice, none meets its points by a sort.
+    place = lambda x: (x - c("low")) / (c("high") - c("low")) * c("last")
+    first = F.greatest(F.lit(0), F.ceil(place(c("x"))).cast("int") - 1)
+    until = F.coalesce(F.least(c("last"), F.floor(place(c("x1"))).cast("int") + 1), c("last"))
+    points = pieces.where(first <= until).withColumn("k", F.explode(F.sequence(first, until)))
+    points = points.withColumn("t", c("low") + (c("high") - c("low")) * c("k") / c("last")).where((c("t") >= c("x")) & F.coalesce(c("t") < c("x1"), F.lit(True)))
+    points = points.withColumn("v", F.coalesce(c("y") + (c("y1") - c("y")) * (c("t") - c("x")) / (c("x1") - c("x")), c("y")))
+    found = points.groupBy(*keys, "k").agg(F.max("t").alias("x"), (F.max("v") - F.min("v")).alias("gap"))
     best = found.groupBy(*keys).agg(F.max(F.struct("gap", -F.col("k"), "x")).alias("b"))
     return best.select(*keys, F.round("b.gap", 3).alias("hysteresis"), F.when(F.col("b.gap") > 0, F.round("b.x", 2)).alias("at_command"))
 

@@ -60,3 +60,8 @@ def test_fit_reads_points_made_once(spark):
     plan = plan_of(catalog.QUERIES["flow_curves"](spark, SF))
     assert "Range (0, 256" not in plan and "points-" in plan
     release(spark)
+
+
+def test_branches_are_made_once(spark):
+    plan = plan_of(catalog.QUERIES["stroke_hysteresis"](spark, SF))
+    assert plan.count("Range (0, 240") == 2
