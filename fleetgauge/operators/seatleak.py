@@ -95,7 +95,7 @@ def move_boundaries(segs: DataFrame, grid: DataFrame, moves: DataFrame, keys: li
     """``segs`` (i_iso, i_hold, i_end) after manual moves (keys, seq, boundary isolation, hold or end, new_time) in order; a move that would pass a neighbour is not applied."""
     known = grid.select(*keys, "t", F.col("i").alias("idx"), F.col("t").alias("v"))
     asked = moves.select(*keys, F.col("new_time").cast("double").alias("t"), "seq", "boundary")
-    placed = interp.nearest(asked, known, keys).withColumn("i_new", F.col("near.idx"))
+    placed = interp.nearest_of_few(asked, known, keys).withColumn("i_new", F.col("near.idx"))
     steps = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "boundary", "i_new"))).alias("steps"))
     start = F.struct(*[F.col(n).cast("long").alias(n) for n in ("i_iso", "i_hold", "i_end")])
 

@@ -65,3 +65,12 @@ def test_fit_reads_points_made_once(spark):
 def test_branches_are_made_once(spark):
     plan = plan_of(catalog.QUERIES["stroke_hysteresis"](spark, SF))
     assert plan.count("Range (0, 240") == 2
+
+
+@pytest.mark.parametrize("name", ["moved_boundaries", "leak_moved", "thrust_checks"])
+def test_points_do_not_move_to_meet_boundaries(spark, name):
+    plan = plan_of(catalog.QUERIES[name](spark, SF))
+    assert not re.search(r"hashpartitioning\(test_id#\d+L?, (i|i_start|i_end)#", plan)
+    # The records are dealt out once each time they are made, and never again.
+    for part in plan.split("Exchange hashpartitioning(test_id")[1:]:
+        assert "Range (0," not in part.split("Exchange")[0]
