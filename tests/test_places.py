@@ -74,3 +74,8 @@ def test_points_do_not_move_to_meet_boundaries(spark, name):
     # The records are dealt out once each time they are made, and never again.
     for part in plan.split("Exchange hashpartitioning(test_id")[1:]:
         assert "Range (0," not in part.split("Exchange")[0]
+
+
+def test_points_do_not_move_to_meet_strokes(spark):
+    plan = plan_of(catalog.QUERIES["thrust_phases"](spark, SF))
+    assert not re.search(r"hashpartitioning\(test_id#\d+L?, stroke#", plan)
