@@ -139,7 +139,9 @@ def hold_rows(grid: DataFrame, segs: DataFrame, tests: DataFrame, keys: list[str
     whole = Window.partitionBy(*keys)
     inside = lambda name: F.when(c("in_hold"), c(name))
     rows = rows.withColumn("temp_mean", F.avg(inside("temp")).over(whole)).withColumn("p_median", F.median(inside("p_down")).over(whole))
-    rows = rows.withColumn("blank_rate", curves.blank_rate(c("blank"), c("temp_mean"), c("p_median")))
+    # The blank is one of the test: it is looked up at the hold's first point only, the others see it there.
+    looked_up = F.when(c("i") == c("i_hold"), curves.blank_rate(c("blank"), c("temp_mean"), c("p_median")))
+    rows = rows.withColumn("__blank", looked_up).withColumn("blank_rate", F.max("__blank").over(whole)).drop("__blank")
     veq = physics.standard_volume(c("p_down"), c("temp"), c("volume_m3"), c("z"), c("ref_c"), c("ref_kpa"))
     rows = rows.withColumn("blank_nl_min", physics.standard_volume(c("blank_rate"), c("temp_mean"), c("volume_m3"), c("z"), c("ref_c"), c("ref_kpa"))).withColumn("veq", veq)
     rows = rows.withColumn("net", c("sign") * (c("veq") - c("blank_nl_min") * (c("t") - c("t_hold")) / 60))
@@ -150,12 +152,17 @@ def hold_rows(grid: DataFrame, segs: DataFrame, tests: DataFrame, keys: list[str
 
 def balance(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per test the mean rate over the hold (least squares), the largest windowed rate, the cumulative leak and the blank's share."""
-    hold = rows.where("in_hold")
-    x = (F.col("t") - F.col("t_hold")) / 60
-    return hold.groupBy(*keys).agg(
-        F.round(F.regr_slope("net", x), 6).alias("rate_mean"), F.round(F.max("rate"), 6).alias("rate_max"), F.max_by("cumulative", "i").alias("cumulative"),
-        F.round(F.first("blank_nl_min"), 6).alias("blank_nl_min"), F.round(F.first("temp_mean"), 3).alias("temp_mean"), F.round(F.max("t") - F.min("t"), 3).alias("hold_s"),
-    )
+    return rows.where("in_hold").groupBy(*keys).agg(*_balances())
+
+
+def _balances() -> list[Column]:
+    """The aggregates of :func:`balance` over a test's points, those outside of the hold left out."""
+    inside = lambda x: F.when(F.col("in_hold"), x)
+    t, x = inside(F.col("t")), inside((F.col("t") - F.col("t_hold")) / 60)
+    return [
+        F.round(F.regr_slope(inside(F.col("net")), x), 6).alias("rate_mean"), F.round(F.max(inside(F.col("rate"))), 6).alias("rate_max"), F.max_by("cumulative", inside(F.col("i"))).alias("cumulative"),
+        F.round(F.first("blank_nl_min"), 6).alias("blank_nl_min"), F.round(F.first("temp_mean"), 3).alias("temp_mean"), F.round(F.max(t) - F.min(t), 3).alias("hold_s"),
+    ]
 
 
 def first_exceedance(rows: DataFrame, keys: list[str], limits: dict[str, float] = LIMITS) -> DataFrame:
@@ -173,6 +180,11 @@ def first_exceedance(rows: DataFrame, keys: list[str], limits: dict[str, float]
 
 def gates(rows: DataFrame, keys: list[str], coverage: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
     """Per test the hold's evidence and the codes of what it lacks; ``coverage`` (keys, coverage) is that of the temperature."""
+    return _judged(rows.groupBy(*keys).agg(*_evidence(rows)), keys, coverage, limits)
+
+
+def _evidence(rows: DataFrame) -> list[Column]:
+    """The aggregates of :func:`gates` over a test's points."""
     c = F.col
     # The position at isolation is interpolated between the two grid points around it.
     below, above = F.max_by("position", F.when(c("t") <= c("t_closed"), c("i"))), F.min_by("position", F.when(c("t") >= c("t_closed"), c("i")))
@@ -181,11 +193,18 @@ def gates(rows: DataFrame, keys: list[str], coverage: DataFrame, limits: dict[st
     inside = lambda x: F.when(c("in_hold"), x)
     dp = c("sign") * (c("p_up") - c("p_down"))
     margins = [F.first(n).alias(n) for n in ("temp_margin", "pressure_margin") if n in rows.columns]
-    found = rows.groupBy(*keys).agg(
+    return [
         F.round(at, 3).alias("position_at_isolation"), F.max(inside(c("position"))).alias("position_max"), (F.max(inside(c("position"))) - F.min(inside(c("position")))).alias("position_drift"),
         F.round(F.median(inside(dp)), 2).alias("dp_median"), F.round(F.min(inside(dp)), 2).alias("dp_min"), F.min(inside(c("temp"))).alias("temp_lo"), F.max(inside(c("temp"))).alias("temp_hi"),
         F.min(inside(c("p_down"))).alias("p_lo"), F.max(inside(c("p_down"))).alias("p_hi"), F.first("blank").alias("blank"), *margins,
-    ).join(coverage.select(*keys, "coverage"), keys, "left")
+    ]
+
+
+def _judged(found: DataFrame, keys: list[str], coverage: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """:func:`gates` of the aggregates of :func:`_evidence`."""
+    c = F.col
+    found = found.join(coverage.select(*keys, "coverage"), keys, "left")
+    margins = [n for n in ("temp_margin", "pressure_margin") if n in found.columns]
     covered = curves.blank_covers(curves.blank_envelope(c("blank"), *map(c, ("temp_margin", "pressure_margin") if margins else ())), c("temp_lo"), c("temp_hi"), c("p_lo"), c("p_hi"))
     unsteady = (c("position_at_isolation") > limits["closed_band"]) | (c("position_max") > limits["closed_band"]) | (c("position_drift") > limits["drift"])
     codes = F.array_compact(F.array(
@@ -224,19 +243,24 @@ def checks(found: DataFrame, keys: list[str], crossed: DataFrame | None = None,
 def analyse(
     grid: DataFrame, actions: DataFrame, tests: DataFrame, coverage: DataFrame | None, keys: list[str],
     flow: DataFrame | None = None, moves: DataFrame | None = None, limits: dict[str, float] = LIMITS,
-    blocks: DataFrame | None = None, temperature: DataFrame | None = None, meter: DataFrame | None = None,
+    blocks: DataFrame | None = None, temperature: DataFrame | None = None, meter: DataFrame | None = None, points: bool = True,
+    segs: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Segments, balances, gates, exceedances, checks and verdicts of all tests: gaps first, then failed checks and issues.
 
     The temperature's coverage of the hold and the metered flow at its grid
     points are given (``coverage``, ``flow``) or taken from the samples
     (``temperature``, ``meter``: keys, idx, t, v).  ``blocks`` (keys, code) are
-    gaps found before.
+    gaps found before.  Without ``points`` the hold's points are not written:
+    balance and evidence take one pass over them as they are made, exceedances
+    and periods make them again.  ``segs`` are held :func:`segments` if they are
+    known already.
     """
     c = F.col
     derived = isolation(actions, keys)
-    segs = hold(segments(grid, derived, keys, moves, limits), "segments")
-    rows = hold(hold_rows(grid, segs, tests, keys, limits), "rows")
+    segs = hold(segments(grid, derived, keys, moves, limits), "segments") if segs is None else segs
+    rows = hold_rows(grid, segs, tests, keys, limits)
+    rows = hold(rows, "rows") if points else rows
 
     def covered(samples: DataFrame) -> DataFrame:
         held = samples.join(segs.where("i_hold is not null").select(*keys, "t_hold", "t_end"), keys)
@@ -247,7 +271,9 @@ def analyse(
     if meter is not None:
         metered = interp.linear(rows.where("in_hold").select(*keys, "t"), meter, keys, clamp=False)
         flow = metered.join(covered(meter), keys)
-    found, evidence = hold(balance(rows, keys), "balance"), gates(rows, keys, coverage, limits)
+    figures = hold(rows.groupBy(*keys).agg(*_balances(), *_evidence(rows), F.bool_or("in_hold").alias("__held")), "figures")
+    found = figures.where("__held").select(*keys, "rate_mean", "rate_max", "cumulative", "blank_nl_min", "temp_mean", "hold_s")
+    evidence = _judged(figures, keys, coverage, limits)
     crossed = None if flow is None else cross_check(flow, found, keys, limits)
     both = tests.select(*keys).join(derived.select(*keys, "conflicts"), keys, "left").join(segs.select(*keys, c("gaps").alias("g1")), keys, "left")
     both = both.join(evidence.select(*keys, c("gaps").alias("g2")), keys, "left").join(found, keys, "left")

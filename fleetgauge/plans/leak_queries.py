@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.operators import seatleak
 from fleetgauge.plans.registry import query, sampled, table
+from fleetgauge.sources.held import hold
 
 KEYS = ["test_id"]
 
@@ -141,9 +142,10 @@ def leak_gates(spark, sf_dir):
     return seatleak.gates(rows(spark, sf_dir), KEYS, coverage(spark, sf_dir)).withColumn("gaps", F.array_join("gaps", ","))
 
 
-def flow(spark, sf_dir):
-    """Metered flow at the hold's points, for every third test."""
-    r = rows(spark, sf_dir).where("in_hold and test_id % 3 = 0")
+def flow(spark, sf_dir, segs=None):
+    """Metered flow at the hold's points (of known ``segs``, if given), for every third test."""
+    r = rows(spark, sf_dir) if segs is None else seatleak.hold_rows(grid(spark, sf_dir), segs, tests(spark, sf_dir), KEYS)
+    r = r.where("in_hold and test_id % 3 = 0")
     return r.select("test_id", (F.lit(0.02) + F.col("test_id") % 7 * 0.03 + F.col("i") % 2 * 0.01).alias("v"), F.when(F.col("test_id") % 4 == 1, 0.4).otherwise(0.9).alias("coverage"))
 
 
@@ -163,5 +165,7 @@ av AS (SELECT s.test_id, list_sort(list_distinct((CASE WHEN conflicts > 0 THEN [
 SELECT test_id, array_to_string(gs, ',') AS gaps, round(round(rm, 6), 4) + 0.0 AS rate_mean, round(round(cumulative, 6), 4) + 0.0 AS cumulative, CASE WHEN len(gs) > 0 THEN 'no_conclusion' WHEN rm IS NULL OR rm > 0.05 OR cumulative > 0.2 OR coalesce(dev > 25, false) THEN 'fail' ELSE 'pass' END AS verdict FROM av""")
 def leak_verdicts(spark, sf_dir):
     """The whole seat-leak analysis, from isolation record to verdict."""
-    found = seatleak.analyse(grid(spark, sf_dir), actions(spark, sf_dir), tests(spark, sf_dir), coverage(spark, sf_dir), KEYS, flow(spark, sf_dir))["verdicts"]
+    g, acts = grid(spark, sf_dir), actions(spark, sf_dir)
+    segs = hold(seatleak.segments(g, seatleak.isolation(acts, KEYS), KEYS), "segments")
+    found = seatleak.analyse(g, acts, tests(spark, sf_dir), coverage(spark, sf_dir), KEYS, flow(spark, sf_dir, segs), points=False, segs=segs)["verdicts"]
     return found.withColumn("rate_mean", F.round("rate_mean", 4) + 0.0).withColumn("cumulative", F.round("cumulative", 4) + 0.0)

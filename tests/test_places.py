@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import units
+from fleetgauge.operators import stats
 from fleetgauge.plans import catalog, chain_queries, stroke_records
-from fleetgauge.sources.held import hold, release
+from fleetgauge.sources.held import _HELD, hold, release
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +80,20 @@ def test_points_do_not_move_to_meet_boundaries(spark, name):
 def test_points_do_not_move_to_meet_strokes(spark):
     plan = plan_of(catalog.QUERIES["thrust_phases"](spark, SF))
     assert not re.search(r"hashpartitioning\(test_id#\d+L?, stroke#", plan)
+
+
+def test_slopes_ask_only_where_their_frames_begin(spark):
+    rows = spark.range(40).selectExpr("id % 2 as test_id", "id * 1000000 as us", "id * 0.5 as y")
+    assert "max(" not in plan_of(stats.trailing_slope(rows, ["test_id"], "us", "y", 10_000_000))
+
+
+def test_blank_is_looked_up_once_a_test(spark):
+    assert re.search(r"CASE WHEN \(i#\d+L? = i_hold#\d+L?\) THEN CASE WHEN", plan_of(catalog.QUERIES["leak_balance"](spark, SF)))
+
+
+def test_seat_leak_verdicts_write_no_points(spark):
+    release(spark)
+    catalog.QUERIES["leak_verdicts"](spark, SF)
+    held = [path.rsplit("/", 1)[1].split("-")[0] for path in _HELD[spark.sparkContext.applicationId]]
+    assert sorted(held) == ["figures", "segments"]
+    release(spark)
