@@ -47,7 +47,7 @@ def isolation(actions: DataFrame, keys: list[str]) -> DataFrame:
 
 def slopes(grid: DataFrame, keys: list[str], value: str, window_s: float) -> DataFrame:
     """``grid`` with the trailing slope of ``value`` per minute (column slope)."""
-    rows = grid.withColumn("__us", F.round(F.col("t") * 1e6).cast("long"))
+    rows = grid.withColumn("__us", stats.micros(F.col("t")))
     return stats.trailing_slope(rows, keys, "__us", value, round(window_s * 1e6)).drop("__us")
 
 
@@ -168,7 +168,7 @@ def _balances() -> list[Column]:
 def first_exceedance(rows: DataFrame, keys: list[str], limits: dict[str, float] = LIMITS) -> DataFrame:
     """Per test the earlier of a rate over the limit for the whole dwell and a cumulative leak over its limit: t, kind, value."""
     c = F.col
-    hold = rows.where("in_hold").withColumn("__us", F.round(c("t") * 1e6).cast("long"))
+    hold = rows.where("in_hold").withColumn("__us", stats.micros(c("t")))
     ahead = Window.partitionBy(*keys).orderBy("__us").rangeBetween(0, round(limits["dwell_s"] * 1e6))
     hold = hold.withColumn("low", F.min("rate").over(ahead)).withColumn("long", F.max("t").over(ahead) - c("t") >= limits["dwell_s"] - 1e-9)
     rate = F.when((c("rate") > limits["rate"]) & (c("low") > limits["rate"]) & c("long"), F.struct(F.round("t", 3).alias("t"), F.lit("leak_rate").alias("kind"), F.round("rate", 6).alias("value")))

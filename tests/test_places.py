@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import units
-from fleetgauge.operators import stats
+from fleetgauge.operators import fullstroke, stats
 from fleetgauge.plans import catalog, chain_queries, stroke_records
 from fleetgauge.sources.held import _HELD, hold, release
 
@@ -97,3 +97,23 @@ def test_seat_leak_verdicts_write_no_points(spark):
     held = [path.rsplit("/", 1)[1].split("-")[0] for path in _HELD[spark.sparkContext.applicationId]]
     assert sorted(held) == ["figures", "segments"]
     release(spark)
+
+
+@pytest.mark.parametrize("name", ["stroke_deadband", "stroke_gap_blocks", "stroke_dropouts"])
+def test_points_stay_with_their_test(spark, name):
+    plan = plan_of(catalog.QUERIES[name](spark, SF))
+    assert not re.search(r"hashpartitioning\(test_id#\d+L?, [a-z_]+#", plan)
+    # A grid for the segments and one for the points, or one for each kind of dropout.
+    assert plan.count("Range (0, 240") <= 2
+
+
+def test_micros_are_rounded_seconds(spark):
+    rows = spark.range(20000).selectExpr("(id - 5000) * 0.0004999995 as t").unionByName(spark.sql("select explode(array(1.0000005d, 0.0000005d, -2.0000005d, 123456.7890125d, 2e9d)) as t"))
+    rows = rows.withColumn("a", stats.micros(F.col("t"))).withColumn("b", F.round(F.col("t") * 1e6).cast("long"))
+    assert rows.where("not (a <=> b)").count() == 0
+
+
+def test_gaps_beyond_a_segment_do_not_count(spark):
+    segs = spark.createDataFrame([(1, 0, "opening", 0.0, 10.0), (1, 1, "dwell", 10.0, 20.0), (1, 2, "closing", 20.0, 30.0), (2, 0, "opening", 0.0, 10.0)], "test_id int, seg int, type string, t_start double, t_end double")
+    gaps = spark.createDataFrame([(1, -5.0, 2.0), (1, 8.0, 21.0), (1, 9.0, 9.0), (1, 22.0, 23.0)], "test_id int, start_at double, end_at double")
+    assert [tuple(r) for r in fullstroke.gap_blocks(segs, gaps, ["test_id"]).collect()] == [(1, 0, 0.4)]
