@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from fleetgauge.operators import airsupply
 from fleetgauge.plans import stroke_records
-from fleetgauge.plans.registry import query, table
+from fleetgauge.plans.registry import dealt, query, table
 from fleetgauge.plans.stroke_records import GRID_SQL, KEYS
 from fleetgauge.sources import records
 from fleetgauge.sources.held import hold
 
 
+#: Samples that take as long as one text made and parsed.
+TEXT = 50
+
+
 def schemes(spark, sf_dir):
     """JSON text of a scheme for every part, read back as records; the part's numbers set units and order."""
     z, key = F.col("p_size"), F.col("p_partkey")
@@ -36,7 +40,10 @@ def schemes(spark, sf_dir):
         F.lit("airsupply").alias("kind"), key.alias("test_id"), actuator.alias("actuator"), F.struct(q(6.0, "bar").alias("header_pressure")).alias("supply"), regulator.alias("regulator"),
         F.struct(q(0.1, "m3").alias("volume"), q(5.0, "bar").alias("initial_pressure")).alias("tank"), events.alias("events"), F.array(action).alias("actions"),
     ))
-    texts = table(spark, sf_dir, "part").select(key.cast("string").alias("source"), text.alias("text"))
+    # A small file of many parts is one task's input, but each of its texts takes as long as ``TEXT`` samples do.
+    # The dealt parts are held, as the planner takes the parser's filter past an exchange.
+    parts = hold(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", TEXT), "parts")
+    texts = parts.select(key.cast("string").alias("source"), text.alias("text"))
     # Parsed once; every gap reads the fields.
     return hold(records.of_kind(records.parse(texts)[0], "airsupply"), "schemes")
 

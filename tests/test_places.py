@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions import units
 from fleetgauge.operators import fullstroke, stats
-from fleetgauge.plans import catalog, chain_queries, stroke_records
+from fleetgauge.plans import catalog, chain_queries, registry, stroke_records, supply_queries
 from fleetgauge.sources.held import _HELD, hold, release
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +117,9 @@ def test_gaps_beyond_a_segment_do_not_count(spark):
     segs = spark.createDataFrame([(1, 0, "opening", 0.0, 10.0), (1, 1, "dwell", 10.0, 20.0), (1, 2, "closing", 20.0, 30.0), (2, 0, "opening", 0.0, 10.0)], "test_id int, seg int, type string, t_start double, t_end double")
     gaps = spark.createDataFrame([(1, -5.0, 2.0), (1, 8.0, 21.0), (1, 9.0, 9.0), (1, 22.0, 23.0)], "test_id int, start_at double, end_at double")
     assert [tuple(r) for r in fullstroke.gap_blocks(segs, gaps, ["test_id"]).collect()] == [(1, 0, 0.4)]
+
+
+def test_schemes_are_parsed_by_more_than_one_task(spark, monkeypatch):
+    monkeypatch.setattr(registry, "SAMPLES_A_TASK", 2500)
+    assert len(supply_queries.schemes(spark, SF).inputFiles()) > 1
+    release(spark)
