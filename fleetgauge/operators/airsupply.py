@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import units
-from fleetgauge.operators import intervals, runs
+from fleetgauge.operators import intervals
 from fleetgauge.sources.held import hold
 
 EPS = 1e-9
@@ -95,23 +95,32 @@ def action_results(actions: DataFrame, series: DataFrame, keys: list[str]) -> Da
     """
     c = F.col
     of = [*keys, "name"]
-    points = intervals.points_within(series, actions, keys, "t", "t_start", "t_end")
-    target = F.when(c("direction") == "open", 100.0).otherwise(0.0)
-    points = points.withColumn("inside", F.abs(c("position") - target) <= c("band"))
-    points = points.withColumn("t_reached", F.min(F.when(c("inside"), c("t"))).over(Window.partitionBy(*of)))
-    order = F.struct("t", "i")
+    # A test's actions go to its points as one array: no point moves or is sorted to meet one, and no table of
+    # actions, however small its file, goes through the driver.
+    asked = F.struct("name", "t_start", "t_end", "direction", "band", "required")
+    listed = actions.groupBy(*keys).agg(F.collect_list(asked).alias("__all")).hint("shuffle_hash")
+    during = F.filter("__all", lambda x: c("t").between(x["t_start"], x["t_end"]))
+    points = series.join(listed, keys).select(*keys, "i", "t", "position", "pressure", F.explode(during).alias("__x"))
+    target = F.when(c("__x.direction") == "open", 100.0).otherwise(0.0)
+    inside = F.abs(c("position") - target) <= c("__x.band")
+    low = F.coalesce(c("pressure") < c("__x.required"), F.lit(False))
+    points = points.select(*keys, "__x.name", "position", "pressure", F.struct("t", "i").alias("__at"), inside.alias("inside"), low.alias("low"))
+    # The first stretch of low pressure ends before the first point after its begin that isn't low.
+    action = Window.partitionBy(*of)
+    points = points.withColumn("t_reached", F.min(F.when(c("inside"), c("__at.t"))).over(action)).withColumn("__low", F.min(F.when(c("low"), c("__at"))).over(action))
+    points = points.withColumn("__up", F.min(F.when(~c("low") & (c("__at") > c("__low")), c("__at"))).over(action))
+    first = c("low") & F.coalesce(c("__at") < c("__up"), F.lit(True))
     found = points.groupBy(*of).agg(
-        F.first("t_reached").alias("t_reached"), F.min("pressure").alias("min_pressure"), F.min_by("t", F.struct("pressure", "t")).alias("min_pressure_t"),
-        F.max_by("position", order).alias("final_position"), F.min(F.when((c("t") > c("t_reached")) & ~c("inside"), c("t"))).alias("exit_t"),
+        F.first("t_reached").alias("t_reached"), F.min("pressure").alias("min_pressure"), F.min_by("__at.t", F.struct("pressure", "__at.t")).alias("min_pressure_t"),
+        F.max_by("position", "__at").alias("final_position"), F.min(F.when((c("__at.t") > c("t_reached")) & ~c("inside"), c("__at.t"))).alias("exit_t"),
+        F.min(F.when(first, c("__at.t"))).alias("below_t0"), F.max(F.when(first, c("__at.t"))).alias("below_t1"),
     )
-    low = runs.periods_where(points, of, ["t", "i"], c("pressure") < c("required"), "t")
-    first = low.groupBy(*of).agg(F.min(F.struct("start_at", "end_at")).alias("b"))
-    rows = actions.join(found, of, "left").join(first, of, "left")
+    rows = actions.join(found.hint("shuffle_hash"), of, "left")
     took = F.when(c("t_reached").isNotNull(), c("t_reached") - c("t_start"))
     return rows.select(
         *actions.columns, c("t_reached").isNotNull().alias("reached"), F.round("t_reached", 3).alias("t_reached"), F.round(took, 3).alias("stroke_time"), F.round(c("travel_max") - took, 3).alias("time_margin"),
         F.round("min_pressure", 2).alias("min_pressure"), F.round("min_pressure_t", 3).alias("min_pressure_t"), F.round(c("min_pressure") - c("required"), 2).alias("pressure_margin"),
-        F.round("final_position", 3).alias("final_position"), F.round("exit_t", 3).alias("exit_t"), c("b.start_at").alias("below_t0"), c("b.end_at").alias("below_t1"),
+        F.round("final_position", 3).alias("final_position"), F.round("exit_t", 3).alias("exit_t"), "below_t0", "below_t1",
     )
 
 

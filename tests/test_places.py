@@ -123,3 +123,10 @@ def test_schemes_are_parsed_by_more_than_one_task(spark, monkeypatch):
     monkeypatch.setattr(registry, "SAMPLES_A_TASK", 2500)
     assert len(supply_queries.schemes(spark, SF).inputFiles()) > 1
     release(spark)
+
+
+@pytest.mark.parametrize("name", ["supply_actions"])
+def test_actions_are_not_broadcast(spark, name):
+    plan = plan_of(catalog.QUERIES[name](spark, SF))
+    assert "BroadcastHashJoin" not in plan and "__slice" not in plan
+    release(spark)
