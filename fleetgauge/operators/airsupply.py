@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import units
-from fleetgauge.operators import intervals
 from fleetgauge.sources.held import hold
 
 EPS = 1e-9
@@ -127,8 +126,8 @@ def action_results(actions: DataFrame, series: DataFrame, keys: list[str]) -> Da
 def findings(results: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, name, kind, t0, t1, device, n_devices): what went wrong with each action, with the device that began first in that stretch.
 
-    ``events``: keys, device, t0, t1.  Stretches and events meet by slices of
-    time; those that only touch don't count.
+    ``events``: keys, device, t0, t1.  Stretches and events that only touch
+    don't count.
     """
     c = F.col
     safe = c("kind") == "fail_safe_stroke"
@@ -143,10 +142,11 @@ def findings(results: DataFrame, events: DataFrame, keys: list[str]) -> DataFram
         finding("safe_position_not_reached", safe & c("exit_t").isNotNull(), c("exit_t"), c("t_end")),
     ))
     rows = hold(results.select(*keys, "name", F.explode(listed).alias("x")).select(*keys, "name", "x.*"), "findings")
-    spans = rows.select(*keys, "name", "kind", (c("t0") + EPS).alias("start_at"), (c("t1") - EPS).alias("end_at"))
-    met = intervals.overlaps(spans, events.select(*keys, "device", c("t0").alias("start_at"), c("t1").alias("end_at")), keys)
-    first = met.groupBy(*keys, "name", "kind").agg(F.min_by("b_device", F.struct("b_start_at", "b_device")).alias("device"), F.count(F.lit(1)).alias("n_devices"))
-    return rows.join(first, [*keys, "name", "kind"], "left").na.fill(0, ["n_devices"])
+    # A test's events go to its stretches as one array, as actions do to points.
+    listed = events.where("t1 > t0").groupBy(*keys).agg(F.collect_list(F.struct("t0", "device", "t1")).alias("__events")).hint("merge")
+    met = F.filter("__events", lambda e: (e["t0"] < c("t1") - EPS) & (e["t1"] > c("t0") + EPS) & (c("t1") - EPS > c("t0") + EPS))
+    rows = rows.join(listed, keys, "left").withColumn("__met", F.coalesce(met, F.array().cast(listed.schema["__events"].dataType)))
+    return rows.select(*keys, "name", "kind", "t0", "t1", F.array_min("__met")["device"].alias("device"), F.size("__met").cast("long").alias("n_devices"))
 
 
 def checks(results: DataFrame, keys: list[str]) -> DataFrame:

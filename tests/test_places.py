@@ -125,7 +125,7 @@ def test_schemes_are_parsed_by_more_than_one_task(spark, monkeypatch):
     release(spark)
 
 
-@pytest.mark.parametrize("name", ["supply_actions"])
+@pytest.mark.parametrize("name", ["supply_actions", "supply_findings"])
 def test_actions_are_not_broadcast(spark, name):
     plan = plan_of(catalog.QUERIES[name](spark, SF))
     assert "BroadcastHashJoin" not in plan and "__slice" not in plan
