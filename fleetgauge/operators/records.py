@@ -206,7 +206,7 @@ def full_stroke(records: DataFrame, certificates: DataFrame, adjustments: DataFr
             due = uncertainty.input_states(inputs, jitter, problems).where("state = 'evaluated'").select("test_id")
             drawn = hold(uncertainty.trial_metrics(uncertainty.perturb_by(only(made["samples"]), inputs, jitter, trials, problems=problems), limits["settle_band"], moves, trials), "trials")
             segs = hold(fullstroke.segment(own_grid, KEYS, moves), "segments")
-            central = fullstroke.metrics(own_grid, fullstroke.in_segments(own_grid, segs, KEYS), segs, KEYS, limits["settle_band"])
+            central = fullstroke.metrics(own_grid, segs, KEYS, limits["settle_band"])
             evaluated = hold(uncertainty.evaluate(drawn, central, limits, trials, tests=due), "evaluated")
             sure = hold(uncertainty.overall(evaluated, uncertainty.valid_trials(due, drawn, trials), trials), "overall")
             supply = uncertainty.supply_conformance(drawn, limits["supply_min_kpa"]).withColumn("metric", F.lit(uncertainty.SUPPLY))

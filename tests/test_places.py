@@ -130,3 +130,10 @@ def test_actions_are_not_broadcast(spark, name):
     plan = plan_of(catalog.QUERIES[name](spark, SF))
     assert "BroadcastHashJoin" not in plan and "__slice" not in plan
     release(spark)
+
+
+@pytest.mark.parametrize("name", ["stroke_metrics"])
+def test_points_are_made_once_for_segments_and_once_for_all_metrics(spark, name):
+    plan = plan_of(catalog.QUERIES[name](spark, SF))
+    made = len(re.findall(r"BroadcastNestedLoopJoin|CartesianProduct", plan))
+    assert made == 2 and "MapInArrow" in plan
