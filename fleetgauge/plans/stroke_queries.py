@@ -82,7 +82,8 @@ hy AS (SELECT test_id, round(max(gap), 3) AS hysteresis, CASE WHEN max(gap) > 0
 @query("stroke_hysteresis", f"WITH {SEGMENT_SQL}, {HYSTERESIS_SQL} SELECT * FROM hy")
 def stroke_hysteresis(spark, sf_dir):
     """Largest gap between the branches among quasi-static points."""
-    return fullstroke.hysteresis(parts(spark, sf_dir)[2], KEYS)
+    grid, segs, _ = parts(spark, sf_dir)
+    return fullstroke.hysteresis(grid, KEYS, segs=segs)
 
 
 OVERSHOOT_SQL = """ov AS (SELECT s.test_id, s.seg, any_value(s.type) AS type, any_value(s.target) AS target,

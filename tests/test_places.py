@@ -132,7 +132,7 @@ def test_actions_are_not_broadcast(spark, name):
     release(spark)
 
 
-@pytest.mark.parametrize("name", ["stroke_metrics"])
+@pytest.mark.parametrize("name", ["stroke_metrics", "stroke_hysteresis"])
 def test_points_are_made_once_for_segments_and_once_for_all_metrics(spark, name):
     plan = plan_of(catalog.QUERIES[name](spark, SF))
     made = len(re.findall(r"BroadcastNestedLoopJoin|CartesianProduct", plan))
