@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import units
-from fleetgauge.operators import fullstroke, stats
+from fleetgauge.operators import fullstroke, stats, uncertainty
 from fleetgauge.plans import catalog, chain_queries, registry, stroke_records, supply_queries
 from fleetgauge.sources.held import _HELD, hold, release
 
@@ -137,3 +137,12 @@ def test_points_are_made_once_for_segments_and_once_for_all_metrics(spark, name)
     plan = plan_of(catalog.QUERIES[name](spark, SF))
     made = len(re.findall(r"BroadcastNestedLoopJoin|CartesianProduct", plan))
     assert made == 2 and "MapInArrow" in plan
+
+
+def test_points_of_trials_are_not_written(spark):
+    rows = [(1, ch, k, i, i * 0.5, v + i) for k in (1, 2) for ch, v in (("command", 0.0), ("position", 1.0), ("pressure", 300.0)) for i in range(8)]
+    perturbed = spark.createDataFrame(rows, "test_id long, channel string, trial int, idx int, t double, v double")
+    held = len(_HELD.get(spark.sparkContext.applicationId, []))
+    found = uncertainty.trial_metrics(perturbed)
+    assert len(_HELD.get(spark.sparkContext.applicationId, [])) == held
+    assert {(r["trial"], r["value"]) for r in found.where("metric = 'supply_min'").collect()} == {(1, 300.0), (2, 300.0)}
