@@ -140,9 +140,11 @@ def test_points_are_made_once_for_segments_and_once_for_all_metrics(spark, name)
 
 
 def test_points_of_trials_are_not_written(spark):
-    rows = [(1, ch, k, i, i * 0.5, v + i) for k in (1, 2) for ch, v in (("command", 0.0), ("position", 1.0), ("pressure", 300.0)) for i in range(8)]
-    perturbed = spark.createDataFrame(rows, "test_id long, channel string, trial int, idx int, t double, v double")
+    rows = [(1, ch, i, i * 0.25, v + i) for ch, v in (("command", 0.0), ("position", 1.0), ("pressure", 300.0)) for i in range(8)]
+    samples = spark.createDataFrame(rows, "test_id long, channel string, idx int, t double, v double")
+    inputs = spark.createDataFrame([(1, "position", "accuracy", "channel", 0.1, "normal", False, "used")], "test_id long, channel string, kind string, source string, scale double, distribution string, per_point boolean, status string")
+    jitter = spark.createDataFrame([(1, "position", 0.0)], "test_id long, channel string, jitter_s double")
     held = len(_HELD.get(spark.sparkContext.applicationId, []))
-    found = uncertainty.trial_metrics(perturbed)
+    found = uncertainty.trial_metrics(uncertainty.perturb_by(samples, inputs, jitter, 2, tasks=3), dealt=True)
     assert len(_HELD.get(spark.sparkContext.applicationId, [])) == held
     assert {(r["trial"], r["value"]) for r in found.where("metric = 'supply_min'").collect()} == {(1, 300.0), (2, 300.0)}
